@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.neighbours import nearest_neighbours, neighbour_pairs
 from corvane.llm.overlaps import overlap_report, split_overlaps
 from corvane.llm.runs import collapse_runs
 from corvane.llm.subsequences import frequent_subsequences
@@ -19,6 +20,10 @@ def p2_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent_subsequences(table(spark, sf_dir, "tool_events"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(nearest_neighbours(table(spark, sf_dir, "chunks")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = split_overlaps(table(spark, sf_dir, "queries"))
     return pairs.select(F.least("train_id", "eval_id").alias("query_id_a"), F.greatest("train_id", "eval_id").alias("query_id_b"))
@@ -38,7 +43,7 @@ def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select(F.col("session").alias("session_id"), F.col("name").alias("tool"), "first_id", "last_id", "n_events", "duration_us")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_patterns, p4_found, p4_report, p7_found, p7_collapsed)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_patterns, p3_found, p4_found, p4_report, p7_found, p7_collapsed)}
 
 _EVENTS = """
     select id, session_id, execution_order, tool, us from (
