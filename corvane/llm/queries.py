@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.credentials import find_credentials, redacted
+from corvane.llm.mixing import mix, share_report
 from corvane.llm.neighbours import nearest_neighbours, neighbour_pairs
 from corvane.llm.overlaps import overlap_report, split_overlaps
+from corvane.llm.packing import fill_report, pack
 from corvane.llm.runs import collapse_runs
+from corvane.llm.splitting import split_oversized, unit_starts
+from corvane.llm.subjects import assign_subjects, subject_shares
 from corvane.llm.subsequences import frequent_subsequences
 from corvane.session import table
 
 
+def limit(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """A value of the table of limits, which has one row for each name."""
+    return int(table(spark, sf_dir, "size_limits").where(F.col("limit_name") == name).agg(F.max("amount")).first()[0])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_credentials(table(spark, sf_dir, "chunks")).select("id", "line_no").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(table(spark, sf_dir, "chunks"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent_subsequences(table(spark, sf_dir, "tool_events")).select("pattern")
 
@@ -33,6 +51,14 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(table(spark, sf_dir, "queries"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_starts(table(spark, sf_dir, "chunks"), limit(spark, sf_dir, "chunk_max"))
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "chunks"), limit(spark, sf_dir, "chunk_max"), limit(spark, sf_dir, "chunk_overlap"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = collapse_runs(table(spark, sf_dir, "tool_events"))
     return runs.where("n_events >= 2").select(F.col("session").alias("session_id"), "first_id", "last_id")
@@ -43,7 +69,35 @@ def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select(F.col("session").alias("session_id"), F.col("name").alias("tool"), "first_id", "last_id", "n_events", "duration_us")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_patterns, p3_found, p4_found, p4_report, p7_found, p7_collapsed)}
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), limit(spark, sf_dir, "container_capacity"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity = limit(spark, sf_dir, "container_capacity")
+    return fill_report(pack(table(spark, sf_dir, "documents"), capacity), capacity)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return share_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_subjects(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "subject")
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_shares(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_redacted, p2_found, p2_patterns, p3_found, p4_found, p4_report, p6_found, p6_pieces, p7_found, p7_collapsed,
+    p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_shares,
+)}
 
 _EVENTS = """
     select id, session_id, execution_order, tool, us from (
