@@ -10,6 +10,7 @@ from corvane.llm.mixing import mix, share_report
 from corvane.llm.neighbours import nearest_neighbours, neighbour_pairs
 from corvane.llm.overlaps import overlap_report, split_overlaps
 from corvane.llm.packing import fill_report, pack
+from corvane.llm.provenance import provenance
 from corvane.llm.runs import collapse_runs
 from corvane.llm.splitting import split_oversized, unit_starts
 from corvane.llm.subjects import assign_subjects, subject_shares
@@ -51,6 +52,14 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(table(spark, sf_dir, "queries"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance(table(spark, sf_dir, "chunks")).select(F.col("path").alias("file_path"))
+
+
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance(table(spark, sf_dir, "chunks")).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_starts(table(spark, sf_dir, "chunks"), limit(spark, sf_dir, "chunk_max"))
 
@@ -95,7 +104,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_redacted, p2_found, p2_patterns, p3_found, p4_found, p4_report, p6_found, p6_pieces, p7_found, p7_collapsed,
+    p1_found, p1_redacted, p2_found, p2_patterns, p3_found, p4_found, p4_report, p5_found, p5_reasons, p6_found, p6_pieces, p7_found, p7_collapsed,
     p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_shares,
 )}
 
