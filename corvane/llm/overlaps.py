@@ -14,6 +14,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import written
+
 #: Words that carry no question.
 STOP_WORDS = "please the a an where is are of in for how does do find show me all to we what which".split()
 SEGMENTS = 4
@@ -71,7 +73,7 @@ def records(df: DataFrame, record_id: str, text: str, split: str, source: str, t
     """
     rows = df.where(F.col(record_id).isNotNull() & F.col(text).isNotNull() & F.col(split).isin(train, *evaluation))
     one = rows.groupBy(F.col(record_id).alias("rid")).agg(F.min(F.struct(F.col(split).alias("split"), F.col(source).alias("source"), F.col(text).alias("text"))).alias("r"))
-    return one.select("rid", "r.split", "r.source", F.array_join(question_words(F.col("r.text")), " ").alias("key"))
+    return written(one.select("rid", "r.split", "r.source", F.array_join(question_words(F.col("r.text")), " ").alias("key")))
 
 
 def class_links(rows: DataFrame, train: str) -> DataFrame:
