@@ -4,8 +4,8 @@
 2. A vector is the sum of one codeword from each of several full-dimensional codebooks. They are trained one after another on
    the residuals of a bounded sample; codes are found by a beam search over all codebooks, and the squared norm of the sum
    is stored with the codes.
-3. The first codebook also says where to look: a vector is held against those whose first codeword is one of the ``probes``
-   nearest to it. A crowded codeword is cut into cells by the second one. Codebook sizes follow the root of the row count.
+3. The first codebook also says where to look: a vector is held against those with its own first codeword and with the
+   ``probes`` next ones. A crowded codeword is cut into cells by the second one. Codebook sizes follow the root of the row count.
 4. Within a cell scores come from a table of inner products of the query with all codewords; the best ``rerank`` are scored
    exactly, and the best k of all probed cells stand.
 """
@@ -86,21 +86,30 @@ class AdditiveQuantiser:
         codes, cost = codes[np.arange(n), top], cost[np.arange(n), top]
         return codes, 2 * (cost + dots[np.arange(n)[:, None], codes].sum(1))
 
-    def probes(self, x: np.ndarray, count: int, crowded: np.ndarray, second: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row numbers, cells) where to look for neighbours of x; a cell is first * (words of the second book + 1) + second + 1, or + 0."""
+    def cells(self, x: np.ndarray, codes: np.ndarray, more: int, crowded: np.ndarray, second: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row numbers, cells) where to look for neighbours of x beside its own cell.
+
+        A cell is first word * (words of the second book + 1), plus second word + 1 where the first is crowded.
+        """
         first, wide = self.books[0], len(self.books[1]) + 1
+        own = codes[:, 0].astype(np.int64) * wide + np.where(crowded[codes[:, 0]], codes[:, 1] - self.starts[1] + 1, 0)
         score = (first**2).sum(1) / 2 - x @ first.T
-        best = np.argpartition(score, min(count, len(first)) - 1, axis=1)[:, :count] if len(first) > 1 else np.zeros((len(x), 1), dtype=np.int64)
+        best = np.argsort(score, axis=1)[:, : more + 1] if len(first) <= more + 1 else np.argpartition(score, more, axis=1)[:, : more + 1]
+        order = np.argsort(np.take_along_axis(score, best, 1), axis=1, kind="stable")
+        best = np.take_along_axis(best, order, 1)
+        taken = np.zeros(len(x), dtype=np.int64)
         for c in best.T:
-            cut = crowded[c]
-            yield np.nonzero(~cut)[0], c[~cut] * wide
-            at = np.nonzero(cut)[0]
+            at = np.nonzero((~crowded[c]) & (c * wide != own) & (taken < more))[0]
+            taken[at] += 1
+            yield at, c[at] * wide
+            at = np.nonzero(crowded[c])[0]
             if len(at):
                 book = self.books[1]
                 inner = (book**2).sum(1) / 2 - (x[at] - first[c[at]]) @ book.T
                 take = np.argpartition(inner, min(second, len(book)) - 1, axis=1)[:, :second]
                 for s in take.T:
-                    yield at, c[at] * wide + s + 1
+                    new = c[at] * wide + s + 1 != own[at]
+                    yield at[new], (c[at] * wide + s + 1)[new]
 
 
 def unit_rows(vectors: pa.ChunkedArray | pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,26 +138,34 @@ def _stack(column: pa.Array | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, data)), dtype=np.float32).reshape(len(data), -1)
 
 
-def _encoded(model: AdditiveQuantiser):
+def _first_words(model: AdditiveQuantiser):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
-                part = b.slice(i, 2048)
-                codes, norms = model.encode(_stack(part.column(1)))
-                code = [r.tobytes() for r in codes.astype("<u2")]
-                arrays = [part.column(0), part.column(1), pa.array(codes[:, 0]), pa.array((codes[:, 1] - model.starts[1]).astype(np.int32)), pa.array(code, pa.binary()), pa.array(norms.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays(arrays, ["vid", "x", "c1", "c2", "code", "norm"])
+                codes, _ = model.encode(_stack(b.column(0).slice(i, 2048)))
+                yield pa.RecordBatch.from_arrays([pa.array(codes[:, 0])], ["c1"])
 
     return run
 
 
-def _probing(model: AdditiveQuantiser, count: int, second: int, crowded: np.ndarray):
+def _placed(model: AdditiveQuantiser, more: int, second: int, crowded: np.ndarray):
+    """Each vector once with its codes, in its own cell, and once for each other cell that it is to be held against."""
+    names = ["vid", "x", "cell", "code", "norm"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, cells in model.probes(_stack(b.column(1)), count, crowded, second):
-                if len(at):
-                    rows = b.take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(cells.astype(np.int64))], ["vid", "x", "cell"])
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                x = _stack(part.column(1))
+                codes, norms = model.encode(x)
+                wide = len(model.books[1]) + 1
+                cell = codes[:, 0].astype(np.int64) * wide + np.where(crowded[codes[:, 0]], codes[:, 1] - model.starts[1] + 1, 0)
+                code = pa.array([r.tobytes() for r in codes.astype("<u2")], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell), code, pa.array(norms.astype(np.float32))], names)
+                for at, cells in model.cells(x, codes, more, crowded, second):
+                    if len(at):
+                        rows = part.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(cells.astype(np.int64)), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.float32())], names)
 
     return run
 
@@ -183,7 +200,10 @@ def cell_neighbours(model: AdditiveQuantiser, queries: np.ndarray, qid: np.ndarr
 
 
 def _compared(model: AdditiveQuantiser, k: int, rerank: int):
-    def run(key: tuple, queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
+    """Neighbours within a cell: rows with codes are data; rows without, and those with codes unless asks is false, are queries."""
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        known = f["code"].notna().to_numpy()
+        data, queries = f[known & f["answers"].to_numpy()], f[f["asks"].to_numpy()]
         if not len(queries) or not len(data):
             return pd.DataFrame({"vid": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float32")})
         codes = np.frombuffer(b"".join(map(bytes, data["code"])), dtype="<u2").reshape(len(data), -1).astype(np.int64)
@@ -196,69 +216,65 @@ def _compared(model: AdditiveQuantiser, k: int, rerank: int):
 def book_sizes(n: int) -> list[int]:
     """The first codebook grows with the root of the rows, up to what the sample can fit."""
     first = 1
-    while first * first < 4 * n and first < SAMPLE // 16:
+    while first * first < n and 64 * first < n and first < SAMPLE // 16:
         first *= 2
     return [first, *[WORDS] * (BOOKS - 1)]
 
 
+def class_neighbours(classes: DataFrame, n: int, k: int, more: int, second: int, rerank: int) -> DataFrame:
+    """(vid, other, cosine) of the k best others of each distinct vector (vid, x)."""
+    share = min(1.0, SAMPLE / n)
+    sample = classes if share >= 1 else classes.where(F.xxhash64(F.lit(3), "vid") <= int((2 * share - 1) * (2**63 - 1)))
+    model = AdditiveQuantiser.fit(_stack(sample.select("x").toPandas()["x"]), book_sizes(n))
+    # Bounded: one row for each word of the first codebook.
+    sizes = {r[0]: r[1] for r in classes.select("x").mapInArrow(_first_words(model), "c1 int").groupBy("c1").count().collect()}
+    crowded = np.array([sizes.get(i, 0) > CROWDED for i in range(len(model.books[0]))])
+    placed = classes.select("vid", "x").mapInArrow(_placed(model, more, second, crowded), "vid long, x binary, cell long, code binary, norm float")
+    keys = ["cell"]
+    if crowded.any():
+        # A cell of several blocks: every block of queries meets every block of data, in tasks of their own.
+        parts = placed.groupBy("cell").agg(F.ceil(F.count("code") / BLOCK_ROWS).cast("int").alias("parts")).where("parts > 1")
+        cut = placed.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        block = F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        asked = cut.withColumn("qb", block).withColumn("db", every).withColumn("asks", F.lit(True)).withColumn("answers", F.lit(False))
+        data = cut.where("code is not null").withColumn("db", block).withColumn("qb", every).withColumn("asks", F.lit(False)).withColumn("answers", F.lit(True))
+        placed, keys = asked.unionByName(data).drop("parts"), ["cell", "qb", "db"]
+    else:
+        placed = placed.withColumn("asks", F.lit(True)).withColumn("answers", F.lit(True))
+    found = placed.groupBy(*keys).applyInPandas(_compared(model, k, rerank), "vid long, other long, cosine float")
+    best = found.groupBy("vid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "other"))), 1, k).alias("best"))
+    return best.select("vid", F.explode("best").alias("b")).select("vid", F.col("b.other").alias("other"), (-F.col("b.d")).alias("cosine"))
+
+
 def nearest_neighbours(
-    df: DataFrame, name: str = "content_hash", vector: str = "vector", size: int = 64, k: int = 5, probes: int = 4, second_probes: int = 16, rerank: int = 192,
+    df: DataFrame, name: str = "content_hash", vector: str = "vector", size: int = 64, k: int = 5, probes: int = 1, second_probes: int = 16, rerank: int = 256,
 ) -> DataFrame:
     """(name, other, cosine): for each name with a usable vector, k others of the highest cosine, as far as found.
 
-    Usable: ``size`` numbers, none null, NaN or infinite, length above zero. A name with several vectors takes the smallest of
-    them, bytewise. Names with equal vectors (after scaling to length 1, in float32) are each other's nearest; among equals
-    the smaller name comes first. Fewer than k others in all give as many as there are. Null names are left out. Empty
-    input gives an empty result. Other columns play no part. Approximate: recall is measured in the tests and the README.
+    Usable: ``size`` numbers, none null, NaN or infinite, length above zero. Vectors are told apart by a 64-bit hash of their
+    float32 numbers at length 1. A name with several vectors takes the one with the smallest hash. Names with equal vectors
+    are each other's nearest; among equals the smaller name comes first. Fewer than k others in all give as many as there are.
+    Null names are left out. Empty input gives an empty result. Other columns play no part. Approximate: recall is measured
+    in the tests and the README.
     """
     spark = df.sparkSession
     rows = df.where(F.col(name).isNotNull() & F.col(vector).isNotNull()).select(F.col(name).alias("name"), F.col(vector).alias("vector"))
-    units = rows.mapInArrow(_units(size), "name string, x binary").groupBy("name").agg(F.min("x").alias("x"))
-    # vid: of the vector, so that equal vectors share it. 64 bits of each of two hashes are compared as well, through x itself.
-    named = written(units.select("name", "x", F.xxhash64("x").alias("h")))
-    salted = named.groupBy("x", "h", F.pmod(F.xxhash64("name"), F.lit(16)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("name")), 1, k + 1).alias("names"))
-    classes = salted.groupBy("h", "x").agg(F.slice(F.array_sort(F.flatten(F.collect_list("names"))), 1, k + 1).alias("names"))
-    classes = written(classes.withColumn("vid", F.monotonically_increasing_id()))
+    units = rows.mapInArrow(_units(size), "name string, x binary").withColumn("vid", F.xxhash64("x"))
+    named = written(units.groupBy("name").agg(F.min("vid").alias("vid")))
+    classes = units.select("vid", "x").dropDuplicates(["vid"])
+    classes = written(classes)
     n = classes.count()
-    empty = spark.createDataFrame([], "name string, other string, cosine double")
     if n == 0:
-        return empty
-    share = min(1.0, SAMPLE / n)
-    cut = int((2 * share - 1) * (2**63 - 1))
-    sample = classes if share >= 1 else classes.where(F.col("h") <= cut)
-    x = _stack(sample.select("x").toPandas()["x"])
-    model = AdditiveQuantiser.fit(x, book_sizes(n))
-    coded = written(classes.select("vid", "x").mapInArrow(_encoded(model), "vid long, x binary, c1 int, c2 int, code binary, norm float"))
-    # Bounded: one row for each word of the first codebook.
-    sizes = {r[0]: r[1] for r in coded.groupBy("c1").count().collect()}
-    crowded = np.array([sizes.get(i, 0) > CROWDED for i in range(len(model.books[0]))])
-    wide = len(model.books[1]) + 1
-    in_crowd = F.col("c1").isin([int(i) for i in np.nonzero(crowded)[0]]) if crowded.any() else F.lit(False)
-    cell = F.when(in_crowd, F.col("c1").cast("long") * wide + F.col("c2") + 1).otherwise(F.col("c1").cast("long") * wide)
-    data = coded.select("vid", "x", "code", "norm", cell.alias("cell"))
-    asked = coded.select("vid", "x").mapInArrow(_probing(model, probes, second_probes, crowded), "vid long, x binary, cell long")
-    parts = data.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
-    many = parts.where("parts > 1")
-    if many.limit(1).count():
-        # A cell of several blocks: every block of queries meets every block of data, in tasks of their own.
-        spread = lambda d, keep, other: d.join(many, "cell", "left").withColumn(keep, F.pmod(F.xxhash64("vid"), F.coalesce("parts", F.lit(1))).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        asked, data = spread(asked, "qb", "db"), spread(data, "db", "qb")
-        keys = ["cell", "qb", "db"]
-    else:
-        keys = ["cell"]
-    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(_compared(model, k, rerank), "vid long, other long, cosine float")
-    best = found.groupBy("vid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "other"))), 1, k).alias("best"))
-    flat = best.select("vid", F.posexplode("best").alias("rank", "b")).select("vid", "rank", F.col("b.other").alias("other"), (-F.col("b.d")).cast("double").alias("cosine"))
-    members = classes.select(F.col("vid").alias("other"), F.col("names").alias("others"))
-    others = flat.join(members, "other").select("vid", F.struct("rank", "others", "cosine").alias("o")).groupBy("vid").agg(F.array_sort(F.collect_list("o")).alias("o"))
-    own = classes.select("vid", "h", "x", "names").join(others, "vid", "left")
-    listed = F.concat(
-        F.transform("names", lambda x: F.struct(x.alias("other"), F.lit(1.0).alias("cosine"))),
-        F.coalesce(F.flatten(F.transform("o", lambda o: F.transform(o["others"], lambda x: F.struct(x.alias("other"), o["cosine"].alias("cosine"))))), F.array().cast("array<struct<other:string,cosine:double>>")),
-    )
-    lists = own.select("h", "x", listed.alias("list"))
-    each = named.join(lists, ["h", "x"]).select("name", F.slice(F.filter("list", lambda y: y["other"] != F.col("name")), 1, k).alias("list"))
-    return each.select("name", F.explode("list").alias("y")).select("name", "y.other", "y.cosine")
+        return spark.createDataFrame([], "name string, other string, cosine double")
+    salted = named.groupBy("vid", F.pmod(F.xxhash64("name"), F.lit(16)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("name")), 1, k + 1).alias("names"))
+    members = written(salted.groupBy("vid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("names"))), 1, k + 1).alias("names")))
+    flat = class_neighbours(classes, n, k, probes, second_probes, rerank)
+    others = flat.join(members.select(F.col("vid").alias("other"), "names"), "other").select("vid", "cosine", F.explode("names").alias("name"))
+    shared = members.where(F.size("names") > 1).select("vid", F.lit(1.5).cast("float").alias("cosine"), F.explode("names").alias("name"))
+    lists = others.unionByName(shared).groupBy("vid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "name"))), 1, 2 * k + 1).alias("list"))
+    each = named.join(lists, "vid").select("name", F.slice(F.filter("list", lambda y: y["name"] != F.col("name")), 1, k).alias("list"))
+    return each.select("name", F.explode("list").alias("y")).select("name", F.col("y.name").alias("other"), F.least(-F.col("y.d").cast("double"), F.lit(1.0)).alias("cosine"))
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:

@@ -137,7 +137,15 @@ _OVERLAPS = r"""
         select t.query_id, e.query_id, e.split, e.source from words t join words e on t.w = e.w where t.split = 'train' and e.split <> 'train')
 """
 
+_NEIGHBOURS = """
+    with units as (select content_hash as name, min(vector::double[]) as x from chunks where len(vector) = 64 and len([v for v in vector if v is null or isnan(v) or isinf(v)]) = 0
+        and len([v for v in vector if v <> 0]) > 0 and content_hash is not null group by content_hash),
+    pairs as (select a.name, b.name as other, list_cosine_similarity(a.x, b.x) as c from units a join units b on a.name <> b.name),
+    best as (select name, other from pairs qualify row_number() over (partition by name order by c desc, other) <= 5)
+    select distinct least(name, other) as hash_a, greatest(name, other) as hash_b from best"""
+
 ORACLES = {
+    "p3_found": _NEIGHBOURS,
     "p7_found": _RUNS + "select session_id, first_id, last_id from runs where n_events >= 2",
     "p7_collapsed": _RUNS + "select session_id, tool, first_id, last_id, n_events, duration_us from runs",
     "p4_found": _OVERLAPS + "select least(train_id, eval_id) as query_id_a, greatest(train_id, eval_id) as query_id_b from pairs",
