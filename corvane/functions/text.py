@@ -159,7 +159,7 @@ def xml_escape(text: Column) -> Column:
 def version_parts(version: Column) -> Column:
     """struct(operator, major, minor, patch) of a version or range; absent numbers are null."""
     def number(group: int) -> Column:
-        return F.expr("try_cast(nullif(x, '') as int)") if False else F.nullif(F.regexp_extract(version, r"^\s*([\^~<>=!]*)\s*v?(\d+)(?:\.(\d+))?(?:\.(\d+))?", group), F.lit("")).try_cast("int")
+        return F.nullif(F.regexp_extract(version, r"^\s*([\^~<>=!]*)\s*v?(\d+)(?:\.(\d+))?(?:\.(\d+))?", group), F.lit("")).try_cast("int")
 
     return F.struct(
         F.regexp_extract(version, r"^\s*([\^~<>=!]*)", 1).alias("operator"), number(2).alias("major"), number(3).alias("minor"), number(4).alias("patch"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.ordering import running_sum
+
 
 def normal_cdf(x: Column) -> Column:
     """Distribution function of the normal, by the rational approximation 7.1.26 of Abramowitz and Stegun."""
@@ -69,13 +71,12 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, w_plus, w_minus, z, p): signed ranks with mean ranks for ties and continuity correction; zero differences are left out.
 
-    Mean ranks come from counts per distinct difference: the sort runs over distinct values.
+    Mean ranks come from a running sum of counts over the distinct differences, in range partitions.
     """
     d = F.col(a) - F.col(b)
     groups = df.select(d.alias("d")).where("d is not null and d <> 0").groupBy(F.abs("d").alias("x")).agg(F.count(F.lit(1)).alias("c"), F.sum((F.col("d") > 0).cast("long")).alias("plus"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = groups.withColumn("r", before + (F.col("c") + 1) / 2)
-    sums = ranks.agg(F.sum("c").alias("n"), F.sum(F.col("r") * F.col("plus")).alias("w_plus"), F.sum(F.col("r") * (F.col("c") - F.col("plus"))).alias("w_minus"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
+    ranks = running_sum(groups.withColumn("e", F.lit(0)), "e", [F.col("x").asc()], "c", "before").withColumn("r", F.col("before") + (F.col("c") + 1) / 2)
+    sums = ranks.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(F.col("r") * F.col("plus")).alias("w_plus"), F.sum(F.col("r") * (F.col("c") - F.col("plus"))).alias("w_minus"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
     n, w = F.col("n"), F.least("w_plus", "w_minus")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = F.when(var > 0, (w - n * (n + 1) / 4 + 0.5) / F.sqrt(var))

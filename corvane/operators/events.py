@@ -81,7 +81,7 @@ def followed_within(first: DataFrame, then: DataFrame, keys: list[str], time: st
     a = a.withColumn("_k", F.explode(F.array(F.floor(F.col("_ta") / width), F.floor(F.col("_ta") / width) + 1)))
     b = b.withColumn("_k", F.floor(F.col("_tb") / width))
     same = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
-    joined = a.join(b, [F.col("a._k") == F.col("b._k"), *same] if False else None) if False else a.alias("a").join(b.alias("b"), [F.col("a._k") == F.col("b._k"), *same])
+    joined = a.alias("a").join(b.alias("b"), [F.col("a._k") == F.col("b._k"), *same])
     return joined.where((F.col("_tb") > F.col("_ta")) & (F.col("_tb") - F.col("_ta") <= width) & condition).drop("_k", "_ta", "_tb")
 
 

@@ -66,8 +66,9 @@ def bm25(df: DataFrame, terms: list[str], k: int, key: str = "id", text: str = "
     Term counts come from array filters instead of an explode: the corpus is not shuffled, only document counts are summed.
     """
     own = list(dict.fromkeys(t.lower() for t in terms))
+    equals = lambda t: lambda x: x == F.lit(t)
     words = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), ascii_words(F.col(text)).alias("w"))
-    counts = words.select("id", F.size("w").alias("length"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(own)])
+    counts = words.select("id", F.size("w").alias("length"), *[F.size(F.filter("w", equals(t))).alias(f"tf{i}") for i, t in enumerate(own)])
     stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(own))])
     hit = reduce(lambda a, c: a | c, [F.col(f"tf{i}") > 0 for i in range(len(own))])
     joined = counts.where(hit).join(F.broadcast(stats))  # one row of statistics

@@ -1,2 +1,6 @@
 """DuckDB SQL for the core queries."""
-SQL: dict[str, str] = {}
+
+from __future__ import annotations
+
+from corvane.plans import queries  # noqa: F401
+from corvane.plans.registry import SQL  # noqa: F401

@@ -1,2 +1,6 @@
-"""The registry of core queries."""
-QUERIES: dict = {}
+"""All core queries by name."""
+
+from __future__ import annotations
+
+from corvane.plans import evaluation, graphs, logs, search, tables  # noqa: F401
+from corvane.plans.registry import QUERIES  # noqa: F401
