@@ -77,7 +77,7 @@ def pack(
     blocks = max(1, -(-pieces.count() // BLOCK_PIECES))
     blocked = pieces.withColumn("block", F.pmod(F.xxhash64("doc", "piece"), F.lit(blocks)).cast("int"))
     kind = dict(pieces.dtypes)["doc"]
-    packed = blocked.groupBy("block").applyInPandas(_packed(capacity, max_docs, cost), f"block int, slot long, doc {kind}, piece int, first_token int, tokens int")
+    packed = blocked.repartition(blocks, "block").groupBy("block").applyInPandas(_packed(capacity, max_docs, cost), f"block int, slot long, doc {kind}, piece int, first_token int, tokens int")
     return packed.select(F.concat_ws("-", "block", "slot").alias("container"), "doc", "piece", "first_token", "tokens")
 
 

@@ -133,8 +133,9 @@ DATA_LINE = re.compile(r"\s*[\[\]{}(\"'\-+\d.][^=;]*[,\[{]?\s*[\])};]*\s*$")
 
 
 def measures(text: str, model: NameModel | None) -> list[float]:
-    literal = sum(len(m.group()) for m in LITERAL.finditer(text))
-    names = IDENTIFIER.findall(LITERAL.sub(" ", text))
+    rest, literals = LITERAL.subn(" ", text)
+    literal = len(text) - len(rest) + literals
+    names = IDENTIFIER.findall(rest)
     kinds = Counter(names)
     bits = mangled = 0.0
     for name, n in kinds.items():
@@ -148,7 +149,9 @@ def measures(text: str, model: NameModel | None) -> list[float]:
     by = Counter()
     for name in kinds:
         by[style(name)] += 1
-    data = sum(len(x) for x in lines if x.strip() and DATA_LINE.match(x[:300]) and not IDENTIFIER.search(LITERAL.sub("", x)))
+    data = 0
+    if 2 * literal > len(text):  # lines of data are mostly literals
+        data = sum(len(x) for x in lines if x.strip() and DATA_LINE.match(x[:300]) and not IDENTIFIER.search(LITERAL.sub("", x)))
     long_chars = sum(len(x) for x in lines if len(x) > 400 and not re.search(r"[\"'][^\"'\s]{300,}[\"']", x))
     return [float(len(text)), len(names), len(kinds), bits, mangled, sum(n for x, n in kinds.items() if len(x) <= 2), literal, len(lines), long_chars, data, *[by[s] for s in STYLES]]
 
