@@ -80,9 +80,9 @@ def stands_for_nothing(value: str) -> bool:
     """Placeholders, variables, references to a store, names of fields."""
     v = value.strip()
     low = v.lower()
-    if len(v) < 5 or v[0] in "$%<{@&*#" or "${" in v or "{{" in v or "$(" in v or "%(" in v or "<" in v and ">" in v:
+    if len(v) < 5 or re.match(r"\$\w+$|\$[({]|%\w+%$|%[sd(]|<|\{\{?|#\{|@\w+$|[&*]\w+$", v) or "${" in v or "{{" in v or "$(" in v or "%(" in v or "<" in v and ">" in v:
         return True
-    if "://" in v and "@" not in v or low.startswith(("vault:", "env:", "env.", "ssm:", "aws:", "arn:", "secretsmanager:", "op://", "file:", "keyring:", "sops:", "ref+", "kms:", "gcp:", "process.", "os.", "data:", "sha256:", "sha1:", "md5:", "/", "./", "../", "~")):
+    if "://" in v and "@" not in v or low.startswith(("vault:", "env:", "env.", "ssm:", "aws:", "arn:", "secretsmanager:", "op://", "file:", "keyring:", "sops:", "ref+", "kms:", "gcp:", "process.", "os.", "data:", "sha256:", "sha1:", "md5:")) or re.fullmatch(r"(?:~|\.{1,2})?/(?:[\w.@-]+/)*[\w.@-]*", v) and not (v.count("/") == 1 and strong(v) and len(v) >= 24):
         return True
     if re.search(r"x{4,}|\*{3,}|\.{3}|-{4,}|_{4,}|0{8,}|1234567|abcdef|your|example|changeme|change-me|placeholder|dummy|redacted|insert|replace|todo|vault|environ|getenv|secretstore|\bfake|sample_", low):
         return True
@@ -174,7 +174,7 @@ def line_spans(line: str, kinds: set[tuple[str, str]], path: str) -> list[tuple[
         if kind == "format":
             for m in _FORMAT[opening].finditer(line):
                 before = line[m.start() - 1] if m.start() else " "
-                if not (before.isalnum() or before == "_") and not stands_for_nothing(m.group()) and any(c.isdigit() for c in m.group()) and "data:" not in line[max(0, m.start() - 40) : m.start()]:
+                if not (before.isalnum() or before == "_") and not stands_for_nothing(m.group()) and (opening in ("akia", "asia") or any(c.isdigit() for c in m.group())) and "data:" not in line[max(0, m.start() - 40) : m.start()]:
                     out.append((*m.span(), opening.strip("_-.")))
     names = {k for k, _ in kinds}
     if "url" in names:
@@ -255,11 +255,17 @@ def spans(text: str, path: str = "") -> list[tuple[int, int, str]]:
         for start, kinds in lines.items():
             end = text.find("\n", start)
             line = text[start : end if end >= 0 else len(text)]
+            if end >= 0 and (m := GOES_ON.search(line)) and (q := NEXT.match(text, end)):
+                # A literal that goes on in the next line is judged whole, and taken up to the end of this line's part.
+                found += [(start + a, start + min(b, m.start()), k) for a, b, k in line_spans(line[: m.start()] + q.group(1) + m.group(1), kinds, path) if a < m.start()]
+                continue
             for o in range(0, max(1, len(line) - 256 if len(line) > 8192 else 1), 8192 - 256):
                 found += [(start + o + a, start + o + b, k) for a, b, k in line_spans(line[o : o + 8192], kinds, path)]
     return _merged(found)
 
 
+GOES_ON = re.compile(r"(?<=[\w+/=!-])([\"'`])[ \t]*[+.\\]?[ \t]*\\?\r?$")
+NEXT = re.compile(r"\n[ \t]*[+.]?[ \t]*[\"'`]([^\s\"'`]+)[\"'`]")
 #: A literal that goes on in the next line's literal.
 REST = re.compile(r"[\"'`][ \t]*[+.\\]?[ \t]*\\?\r?\n[ \t]*[+.]?[ \t]*[\"'`]([^\s\"'`]+)(?=[\"'`])")
 

@@ -44,7 +44,7 @@ MINIFIED_PATH = re.compile(r"[.-]min\.\w+$", re.I)
 STYLES = ("camel", "snake", "pascal", "upper", "short", "flat")
 #: Cross-entropy in bits a sign above which a name is mangled; measured means over hand-written files lie near 3.
 MANGLED_BITS, MANGLED_SHARE = 4.2, 0.45
-DATA_SHARE, FOREIGN = 0.6, 0.7
+DATA_SHARE, FOREIGN = 0.6, 0.8
 
 
 @lru_cache(maxsize=200_000)

@@ -31,7 +31,7 @@ LEXICON = {
         lunar orbital-period galaxy-survey outer-giants astronomie teleskop sternwarte sternkarte galaxie nebel komet finsternis umlaufbahn planetentransit sternbild mondphase
         astronomía telescopio galaxia nebulosa cometa eclipse observatorio órbita planeta estrella cúmulo asteroide | orbit star planet moon sky transit sol""",
     "law": """lawyer attorney plaintiff defendant lawsuit litigation statute jurisdiction verdict tribunal notary tenant liability liability-cap contract-clause court-filing court-docket court-case legal-brief settlement-offer
-        hearing-date witness-statement charge-sheet trust-deed appeal-court legal clause subpoena affidavit judge's-ruling precedent disclosure gdpr paragraph-four may-sue
+        hearing-date witness-statement charge-sheet trust-deed appeal-court legal clause subpoena affidavit judge-ruling precedent disclosure gdpr paragraph-four may-sue
         urteil kläger vertragsklausel gerichtsakte anhörung berufung haftung gesetz anwalt gericht klage zeuge beklagter
         demandante tribunal cláusula sentencia testigo jurisdicción apelación audiencia abogado contrato juzgado ley demanda | judge court appeal contract settlement witness hearing trial""",
     "sport": """athlete stadium referee goalkeeper goal-keeper penalty-kick league-table match-result sprint-time relay-team training-load tennis-court score-sheet tournament-bracket tournament pitch-map rowing-heat swimmer marathon
@@ -59,13 +59,13 @@ LEXICON = {
         flugplan fahrplan güterwagen bahnhof buslinie maut hafen fracht lastwagen
         autobús peaje vuelo vagón estación puerto carga horario tren camión | train bus ship flight road bridge conductor platform""",
     "energy": """wind-turbine turbine grid-frequency power-grid substation inverter transformer solar-yield solar-panel rooftop-panel heat-pump fuel-cell battery-cell charge-cycle gas-pipeline load-curve meter-reading peak-demand power-outage reactor-core
-        kilowatt electricity coal-plant utility-bill utility night-tariff dam dam's-water photovoltaic megawatt
+        kilowatt electricity coal-plant utility-bill utility night-tariff dam photovoltaic megawatt
         windrad stromnetz umspannwerk wechselrichter lastkurve zählerstand wärmepumpe batterie strom
         turbina subestación inversor contador apagón red-eléctrica batería-solar bomba-de-calor electricidad | grid battery charge power fuel meter""",
     "tooling": """debugger compiler linter linter-rule formatter type-checker autocomplete jump-to-definition language-server syntax-tree symbol-table call-graph code-index build-graph import-cycle merge-conflict dead-code token-budget
-        embedding-cache search-ranking chunk-boundary package-lock unused-import reindexing rebase trailing-comma workspace parser refactoring
+        embedding-cache search-ranking chunk-boundary package-lock unused-import reindexing rebase trailing-comma workspace refactoring
         syntaxbaum aufrufgraph codeindex paketmanager symboltabelle
-        depurador compilador analizador gestor-de-paquetes editor-de-código árbol-sintáctico índice-de-código grafo-de-llamadas | index token editor build""",
+        depurador compilador analizador gestor-de-paquetes editor-de-código árbol-sintáctico índice-de-código grafo-de-llamadas | index token editor build parser""",
 }
 # Figures of speech and courtesies, in which words of a subject mean nothing; lower case.
 SAYINGS = [
@@ -145,7 +145,7 @@ def votes(sentence: str) -> tuple[tuple[int, int], ...]:
         if saying in s:
             s = s.replace(saying, " | ")
     terms, longest = lexicon()
-    words = re.findall(r"[^\W\d_]+(?:'[a-z]+)?|\|", s)
+    words = [w.removesuffix("'s") for w in re.findall(r"[^\W\d_]+(?:'[a-z]+)?|\|", s)]
     out: dict[int, int] = {}
     i = 0
     while i < len(words):
