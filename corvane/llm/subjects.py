@@ -156,6 +156,8 @@ def votes(sentence: str) -> tuple[tuple[int, int], ...]:
                 i += n - 1
                 break
         i += 1
+    if 2 in out.values():  # beside a plain term of one subject, doubtful ones of others mean little
+        out = {n: w for n, w in out.items() if w == 2}
     return tuple(sorted(out.items()))
 
 
