@@ -1,10 +1,15 @@
-"""Event logs: sessions by gaps, n-grams, workflows, corrections, refinements."""
+"""Event logs: sessions by gaps, n-grams, workflows, corrections, refinements.
+
+What depends on the rows before is taken from operators.ordering, so that one entity may hold any share of all rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.ordering import previous_rows, running_sum
+
 
 def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
@@ -15,10 +20,12 @@ def gap_sessions(df: DataFrame, entity: str, time: str, key: str, gap_seconds: f
 
     A gap of just that length does not split. Order is (time, key).
     """
-    w = Window.partitionBy(entity).orderBy(time, key)
-    gap = micros(F.col(time)) - F.lag(micros(F.col(time))).over(w)
-    flagged = df.withColumn("_new", F.when(gap.isNull() | (gap > int(gap_seconds * 1_000_000)), 1).otherwise(0))
-    return flagged.withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+    order = [F.col(time).asc(), F.col(key).asc()]
+    rows = previous_rows(df, entity, order, [time], 1, "_cv_previous")
+    gap = micros(F.col(time)) - micros(F.get("_cv_previous", F.lit(0))[time])
+    flagged = rows.withColumn("_cv_new", F.when(gap.isNull() | (gap > int(gap_seconds * 1_000_000)), 1).otherwise(0))
+    summed = running_sum(flagged.drop("_cv_previous"), entity, order, "_cv_new", "_cv_started")
+    return summed.select(*df.columns, (F.col("_cv_started") + F.col("_cv_new")).cast("int").alias(out))
 
 
 def session_summary(sessions: DataFrame, entity: str, time: str, least: int = 2, window: str = "window_no") -> DataFrame:
@@ -28,15 +35,18 @@ def session_summary(sessions: DataFrame, entity: str, time: str, least: int = 2,
 
 
 def ngrams(df: DataFrame, by: list[str], order: list[str], item: str, time: str, ok: Column, low: int = 2, high: int = 8) -> DataFrame:
-    """(by..., length, gram, us, ok): every run of ``low`` to ``high`` consecutive items of a group, by leads; no group is gathered."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    items = [F.lead(item, i).over(w) for i in range(high)]
-    rows = df.select(*by, micros(F.col(time)).alias("_t0"), *[c.alias(f"_i{i}") for i, c in enumerate(items)], *[F.lead(micros(F.col(time)), i).over(w).alias(f"_t{i}") for i in range(1, high)], *[F.lead(ok.cast("int"), i).over(w).alias(f"_o{i}") for i in range(high)])
-    each = [
-        F.when(F.col(f"_i{n - 1}").isNotNull(), F.struct(F.lit(n).alias("length"), F.concat_ws(">", *[f"_i{i}" for i in range(n)]).alias("gram"), (F.col(f"_t{n - 1}") - F.col("_t0")).alias("us"), sum((F.col(f"_o{i}") for i in range(n)), F.lit(0)).alias("ok")))
-        for n in range(low, high + 1)
-    ]
-    return rows.select(*by, F.explode(F.array(*each)).alias("g")).where("g is not null").select(*by, "g.*")
+    """(by..., length, gram, us, ok): every run of ``low`` to ``high`` consecutive items of a group, each told at its last item."""
+    rows = df.select(*by, *order, F.struct(*by).alias("_cv_entity"), F.col(item).alias("item"), micros(F.col(time)).alias("us"), ok.cast("int").alias("ok"))
+    seen = previous_rows(rows, "_cv_entity", [F.col(o).asc() for o in order], ["item", "us", "ok"], high - 1, "_cv_before")
+    run = F.concat(F.array(F.struct("item", "us", "ok")), "_cv_before")  # nearest first
+    each = F.transform(
+        F.filter(F.sequence(F.lit(low), F.lit(high)), lambda n: n <= F.size(run)),
+        lambda n: F.struct(
+            n.alias("length"), F.array_join(F.reverse(F.transform(F.slice(run, F.lit(1), n), lambda x: x["item"])), ">").alias("gram"), (F.col("us") - F.element_at(run, n)["us"]).alias("us"),
+            F.aggregate(F.slice(run, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.coalesce(x["ok"], F.lit(0))).alias("ok"),
+        ),
+    )
+    return seen.select(*by, F.explode(each).alias("g")).select(*by, "g.*")
 
 
 def workflows(grams: DataFrame, entity: str, least: int = 3) -> DataFrame:
@@ -87,17 +97,18 @@ def followed_within(first: DataFrame, then: DataFrame, keys: list[str], time: st
 
 def previous_within(df: DataFrame, entity: str, time: str, key: str, value: str, seconds: int) -> DataFrame:
     """Rows with ``previous``: the value of the entity's last row before, if at most ``seconds`` older; an as-of self join by lag."""
-    w = Window.partitionBy(entity).orderBy(time, key)
-    near = micros(F.col(time)) - F.lag(micros(F.col(time))).over(w) <= seconds * 1_000_000
-    return df.withColumn("previous", F.when(near, F.lag(value).over(w)))
+    rows = previous_rows(df, entity, [F.col(time).asc(), F.col(key).asc()], [time, value], 1, "_cv_previous")
+    last = F.get("_cv_previous", F.lit(0))
+    near = micros(F.col(time)) - micros(last[time]) <= seconds * 1_000_000
+    return rows.select(*df.columns, F.when(near, last[value]).alias("previous"))
 
 
 def transition_model(df: DataFrame, entity: str, order: list[str], item: str, most: int = 4) -> DataFrame:
     """(n, context, next, count): what follows the last n - 1 items, for n from 1 to ``most``; context is '' for n = 1."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    rows = df.select(F.col(item).alias("next"), *[F.lag(item, i).over(w).alias(f"_p{i}") for i in range(1, most)])
-    each = [F.when(F.lit(True) if n == 1 else F.col(f"_p{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(">", *[f"_p{i}" for i in range(n - 1, 0, -1)]).alias("context"))) for n in range(1, most + 1)]
-    flat = rows.select("next", F.explode(F.array(*each)).alias("g")).where("g is not null")
+    rows = previous_rows(df.select(entity, *order, F.col(item).alias("next")), entity, [F.col(o).asc() for o in order], ["next"], most - 1, "_cv_before")
+    before = F.transform("_cv_before", lambda x: x["next"])  # nearest first
+    each = F.transform(F.sequence(F.lit(1), F.least(F.size(before) + 1, F.lit(most))), lambda n: F.struct(n.alias("n"), F.array_join(F.reverse(F.slice(before, F.lit(1), n - 1)), ">").alias("context")))
+    flat = rows.select("next", F.explode(each).alias("g"))
     return flat.groupBy("g.n", "g.context", "next").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -112,24 +123,32 @@ def next_probabilities(model: DataFrame, smoothing: float = 0.1) -> DataFrame:
     )
 
 
+def positions(df: DataFrame, entity: str, order: list[str]) -> DataFrame:
+    """Rows with _cv_i, their place in the entity from 1, and _cv_n, the rows of the entity."""
+    summed = running_sum(df.withColumn("_cv_one", F.lit(1)), entity, [F.col(o).asc() for o in order], "_cv_one", "_cv_at")
+    return summed.select(*df.columns, (F.col("_cv_at") + 1).alias("_cv_i"), F.col("_cv_at_total").alias("_cv_n"))
+
+
 def discounted_beta(df: DataFrame, arm: str, order: list[str], hit: Column, gamma: float = 0.99) -> DataFrame:
     """(arm, alpha, beta, mean): Beta posterior with counts discounted by gamma for each later trial of the arm.
 
     The fold 'decay, then add' has the closed form 1 + sum(gamma^(n - i) * hit_i), so that it is an aggregation.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(arm))
-    i = F.row_number().over(Window.partitionBy(arm).orderBy(*order))
-    rows = df.select(arm, F.pow(F.lit(gamma), n - i).alias("w"), hit.cast("double").alias("hit"))
+    rows = positions(df.select(arm, *[c for c in order if c != arm], hit.cast("double").alias("hit")), arm, order)
+    rows = rows.select(arm, F.pow(F.lit(gamma), F.col("_cv_n") - F.col("_cv_i")).alias("w"), "hit")
     sums = rows.groupBy(arm).agg((1 + F.sum(F.col("w") * F.col("hit"))).alias("alpha"), (1 + F.sum(F.col("w") * (1 - F.col("hit")))).alias("beta"))
     return sums.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
 
 def streaks(df: DataFrame, entity: str, order: list[str], flag: Column) -> DataFrame:
     """Rows with ``streak``: how many flagged rows in a row end here; 0 on rows without the flag."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    rows = df.withColumn("_f", flag.cast("int")).withColumn("_g", F.sum(1 - F.col("_f")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.sum("_f").over(Window.partitionBy(entity, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("streak", F.when(F.col("_f") == 1, run).otherwise(0)).drop("_f", "_g")
+    keys = [F.col(o).asc() for o in order]
+    flagged = df.withColumn("_cv_f", flag.cast("int")).withColumn("_cv_not", 1 - F.col("_cv_f"))
+    runs = running_sum(running_sum(flagged, entity, keys, "_cv_not", "_cv_run"), entity, keys, "_cv_f", "_cv_before")
+    runs = runs.withColumn("_cv_run", F.col("_cv_run") + F.col("_cv_not"))
+    first = runs.where("_cv_f = 1").groupBy(entity, "_cv_run").agg(F.min("_cv_before").alias("_cv_first"))
+    joined = runs.join(first, [entity, "_cv_run"], "left")
+    return joined.select(*df.columns, F.when(F.col("_cv_f") == 1, F.col("_cv_before") + 1 - F.col("_cv_first")).otherwise(0).alias("streak"))
 
 
 def fixed_window_limit(df: DataFrame, entity: str, time: str, key: str, per_window: int, seconds: int = 60) -> DataFrame:

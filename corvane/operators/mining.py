@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.events import positions
+from corvane.operators.ordering import BLOCK, ordered_blocks
 from corvane.session import written
 
 
@@ -31,7 +33,7 @@ def rules(sets: DataFrame, entities: int, confidence: float = 0.6) -> DataFrame:
     return joined.select("antecedent", "consequent", "support", conf.alias("confidence"), (conf / (F.col("consequent_support") / entities)).alias("lift")).where(F.col("confidence") >= confidence)
 
 
-def error_clusters(errors: DataFrame, least: float = 0.5, rounds: int = 10) -> DataFrame:
+def error_clusters(errors: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, cluster): errors linked where .4 same tool + .3 same type + .3 word overlap reach ``least``; connected, named by smallest id.
 
     ``errors``: id, tool, type, words, one row per distinct (tool, type, words). At ``least`` above .3, linked errors share the
@@ -45,14 +47,13 @@ def error_clusters(errors: DataFrame, least: float = 0.5, rounds: int = 10) -> D
     links = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).where(likeness >= least).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
     links = written(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     label = e.select("id", F.col("id").alias("cluster"))
-    for _ in range(rounds):
+    while True:
         near = links.join(label.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("cluster").alias("near"))
         nxt = written(label.join(near, "id", "left").select("id", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster")))
         moved = nxt.join(label.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").limit(1).count()
         label = nxt
         if not moved:
-            break
-    return label
+            return label
 
 
 def correction_score(lexical: Column, pivot: Column, overwrite: Column, reask: Column) -> Column:
@@ -75,18 +76,31 @@ def lexical_correction(text: Column, strong: list[str], weak: list[str], openers
 
 
 def clamped_fold(df: DataFrame, key: str, order: list[str], delta: Column, start: float, low: float, high: float) -> DataFrame:
-    """(key, value): start plus all deltas in order, clamped after each. Sequences per key must be bounded (a training batch)."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    rows = df.select(key, n.alias("n"), delta.cast("double").alias("d"))
-    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("n", "d"))), F.lit(float(start)), lambda acc, x: F.least(F.greatest(acc + x["d"], F.lit(float(low))), F.lit(float(high))))
-    return rows.groupBy(key).agg(folded.alias("value"))
+    """(key, value): start plus all deltas in order, clamped to [low, high] after each; the order must be total.
+
+    Steps x -> min(max(x + s, a), b) are closed under composition, so that each block of a key becomes one such step, and a
+    key of any size is folded over its few blocks.
+    """
+    keys = [F.col(o).asc() for o in order]
+    rows = ordered_blocks(df.select(key, *[o for o in order if o != key], delta.cast("double").alias("_cv_d")), key, keys)
+    clamp = lambda x, a, b: F.least(F.greatest(x, a), b)
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("a"), F.lit(float("inf")).alias("b"))
+
+    def then(acc: Column, s: Column, a: Column, b: Column) -> Column:
+        return F.struct((acc["s"] + s).alias("s"), clamp(acc["a"] + s, a, b).alias("a"), clamp(acc["b"] + s, a, b).alias("b"))
+
+    lo, hi = F.lit(float(low)), F.lit(float(high))
+    step = F.aggregate(F.array_sort(F.collect_list(F.struct(*order, "_cv_d"))), none, lambda acc, x: then(acc, F.coalesce(x["_cv_d"], F.lit(0.0)), lo, hi))
+    blocks = rows.groupBy(key, BLOCK).agg(step.alias("f"))
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct(BLOCK, "f"))), none, lambda acc, x: then(acc, x["f"]["s"], x["f"]["a"], x["f"]["b"]))
+    folded = blocks.groupBy(key).agg(whole.alias("f"))
+    return folded.select(key, clamp(F.col("f.s") + start, F.col("f.a"), F.col("f.b")).alias("value"))
 
 
 def ema(df: DataFrame, key: str, order: list[str], value: Column, alpha: float = 0.1, start: float = 0.0) -> DataFrame:
     """(key, value): exponential moving average, in closed form: an aggregation without any order-dependent fold."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    i = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    rows = df.select(key, n.alias("n"), F.pow(F.lit(1 - alpha), n - i).alias("w"), value.cast("double").alias("v"))
+    rows = positions(df.select(key, *[c for c in order if c != key], value.cast("double").alias("v")), key, order)
+    rows = rows.select(key, F.col("_cv_n").alias("n"), F.pow(F.lit(1 - alpha), F.col("_cv_n") - F.col("_cv_i")).alias("w"), "v")
     return rows.groupBy(key).agg((alpha * F.sum(F.col("w") * F.col("v")) + start * F.pow(F.lit(1 - alpha), F.max("n"))).alias("value"))
 
 

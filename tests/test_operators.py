@@ -13,7 +13,8 @@ from corvane.operators import graph as G
 from corvane.operators import incremental as I
 from corvane.operators import mining as M
 from corvane.operators import retrieval as R
-from corvane.operators.ordering import running_sum
+from corvane.operators import scoring as S
+from corvane.operators.ordering import previous_rows, running_sum
 
 
 def one(spark, column, **values):
@@ -200,3 +201,66 @@ def test_running_sum_over_blocks(spark, partitions):
     for e, i, _ in rows:
         own = [(j, v or 0) for f, j, v in rows if f == e]
         assert got[i] == (sum(v for j, v in own if j < i), sum(v for _, v in own))
+
+
+@pytest.mark.parametrize(("partitions", "count"), [(1, 1), (7, 3), (60, 3), (60, 1)])
+def test_previous_rows_over_blocks(spark, partitions, count):
+    r = random.Random(partitions + count)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.randrange(9)) for i in range(120)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {x.i: [y.i for y in x.p] for x in previous_rows(spark.createDataFrame(rows, "e string, i int, v int"), "e", [F.col("i").asc()], ["i", "v"], count, "p").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for e, i, _ in rows:
+        assert got[i] == [j for f, j, _ in rows if f == e and j < i][::-1][:count]
+
+
+def test_streaks_over_blocks(spark):
+    r = random.Random(3)
+    rows = [(r.choice("ab"), i, r.random() < 0.6) for i in range(80)]
+    got = {x.i: x.streak for x in E.streaks(spark.createDataFrame(rows, "e string, i int, f boolean"), "e", ["i"], F.col("f")).collect()}
+    now = {}
+    for e, i, f in rows:
+        now[e] = now.get(e, 0) + 1 if f else 0
+        assert got[i] == now[e]
+
+
+def test_clamped_fold_over_blocks(spark):
+    r = random.Random(11)
+    rows = [(r.choice("ab"), i, r.choice([0.3, -0.3, 0.1, None])) for i in range(150)]
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        got = {x.k: x.value for x in M.clamped_fold(spark.createDataFrame(rows, "k string, n int, d double"), "k", ["n"], F.col("d"), 1.0, 0.5, 1.5).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for k in "ab":
+        v = 1.0
+        for key, _, d in rows:
+            if key == k:
+                v = min(max(v + (d or 0.0), 0.5), 1.5)
+        assert got[k] == pytest.approx(v)
+
+
+def test_scores(spark):
+    assert S.jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6) and S.jaro_winkler("", "a") == 0.0 and S.jaro_winkler(None, "a") is None
+    assert one(spark, S.salvaged_json(F.col("t")), t='Sure:\n```json\n{"a": [1]}\n```') == '{"a": [1]}'
+    assert one(spark, S.signature_likeness(F.col("a"), F.col("b")), a="f(x, y)", b="g(y: int)") == pytest.approx((0.5 + 0.5) / 2)
+    assert one(spark, S.redacted_map(F.create_map(F.lit("apiKey"), F.col("v"), F.lit("h"), F.lit("Bearer abc"))), v="x") == {"apiKey": "[REDACTED]", "h": "Bearer [REDACTED]"}
+    assert one(spark, S.normal_quantile(F.col("p")), p=0.975) == pytest.approx(1.96, abs=1e-3)
+    assert [x.kind for x in one(spark, S.expansion_lines(F.col("t")), t="lex: a\nnoise\nvec:b\nhyde :  c")] == ["lex", "vec", "hyde"]
+    assert one(spark, S.rollback_reason(F.col("z"), F.lit(1.0), F.lit(1.3), F.lit(1.0), F.lit(1.0)), z=1.0) == "corrections"
+    c = one(spark, S.criteria(F.col("t")), t="Always run `make`.\nAlways run `make`.\nplain line")
+    assert c.repeated == 1 and c.instructive == pytest.approx(2 / 3)
+    local = spark.createDataFrame([("a", 10.0), ("b", 5.0)], "pattern string, count double")
+    packets = spark.createDataFrame([("p", 0.9, "a", 20.0), ("q", 0.2, "a", 500.0), ("p", 0.9, "c", 10.0)], "peer string, trust double, pattern string, count double")
+    assert {x.pattern: x["count"] for x in S.federated(local, packets).collect()} == {"a": 12.0, "b": 5.0, "c": 2.0}
+    draws = spark.range(2000).select(S.beta_draw(F.lit(8.0), F.lit(2.0), 1, F.col("id")).alias("x")).agg(F.avg("x"), F.min("x"), F.max("x")).first()
+    assert draws[0] == pytest.approx(0.8, abs=0.01) and 0 <= draws[1] and draws[2] <= 1
+
+
+def test_samples(spark):
+    df = spark.createDataFrame([(i, "big" if i % 10 else "small") for i in range(200)], "k int, s string")
+    rows = S.stratified(df, "k", "s", 20, 1).collect()
+    assert sum(r.s == "big" for r in rows) == 18 and sum(r.s == "small" for r in rows) == 2
+    assert {r.k for r in S.sample(df, "k", 10, 4).collect()} == {r.k for r in S.sample(df.repartition(3), "k", 10, 4).collect()}
