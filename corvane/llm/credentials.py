@@ -155,7 +155,7 @@ def _value_after(line: str, at: int, kind: str, code: bool) -> tuple[int, int] |
     if link.strip() in (",", "(") or not (b := BARE.match(line, at)):
         return None
     value = b.group().rstrip(".:\\")
-    if re.match(r"[(\[.]", line[b.end() :]) or code and not strong(value):
+    if re.match(r"[(\[.]", line[b.end() :]) or code and not (strong(value) and re.fullmatch(r"[\w+/=.-]+", value)):
         return None
     if spaced and not (strong(value) and not re.fullmatch(r"[0-9a-f]{40}", value)):
         return None

@@ -29,7 +29,7 @@ HELD = [
 FREE = [
     'password = os.environ["PASSWORD"]', "password=${PASSWORD}", "api_key: your-api-key-here", 'secret_name = "password"', "max_tokens = 4096", 'const password_field = "X-Auth-Token";', "dsn=postgres://${DB_USER}:${DB_PASS}@db:5432/app", 'api_key = "xxxxxxxxxxxxxxxx"',
     "webhook_secret: {{ vault.webhook_secret }}", "passwd=vault:secret/passwd", "// never log the passwd; read it from the secret store", "# see commit 0c1dc757e43323ddd60161fad765f75084ed80f4 for the password reset flow", "SHA256=a0493088425bcafc013d0af2179d1a2b8d60d344e5c09daef99e3889f83c4492",
-    "token = resolve_token(session, 9)", "const api_key = process.env.API_KEY;", "-----BEGIN PUBLIC KEY-----\nMIIBIjANBgkqhkiG9w0BAQEFAAOC\n-----END PUBLIC KEY-----", "password_min_length = 12", "DBPASSWORD=<token> ./run.sh", "def tokenize(token): return token",
+    "token = resolve_token(session, 9)", "const api_key = process.env.API_KEY;", "-----BEGIN PUBLIC KEY-----\nMIIBIjANBgkqhkiG9w0BAQEFAAOC\n-----END PUBLIC KEY-----", "password_min_length = 12", "DBPASSWORD=<token> ./run.sh", "def tokenize(token): return token", "var pw=e||x.comment(92);var z=m||H.bracket(21)",
 ]
 
 
