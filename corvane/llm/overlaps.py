@@ -32,8 +32,14 @@ def question_words(text: Column) -> Column:
 
 
 def numbered(words: Column) -> Column:
-    """Sorted words, each with its turn among its equals, so that set operations count repeats."""
-    return F.transform(words, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(words, w) + 1).cast("string")))
+    """Words, each with its turn among its equals, so that set operations count repeats. ``words`` must be a plain column.
+
+    Each different word is counted once; where no word is repeated nothing is counted.
+    """
+    kinds = F.array_distinct(words)
+    turns = lambda w: F.sequence(F.lit(1), F.size(F.filter(words, lambda x: x == w)))
+    repeated = F.flatten(F.transform(kinds, lambda w: F.transform(turns(w), lambda n: F.concat(w, F.lit(" "), n.cast("string")))))
+    return F.when(F.size(kinds) == F.size(words), F.transform(words, lambda w: F.concat(w, F.lit(" 1")))).otherwise(repeated)
 
 
 def segment_codes(text: Column) -> list[Column]:
@@ -83,8 +89,8 @@ def class_links(rows: DataFrame, train: str) -> DataFrame:
     """
     sides = rows.groupBy("key").agg(F.max(F.col("split") == train).alias("t"), F.max(F.col("split") != train).alias("e"))
     same = sides.where("t and e").select(F.col("key").alias("key_t"), F.col("key").alias("key_e"))
-    words = F.when(F.col("key") == "", F.array().cast("array<string>")).otherwise(F.split("key", " "))
-    coded = sides.where("key != ''").select("*", numbered(words).alias("w"), *[c.alias(f"c{i}") for i, c in enumerate(segment_codes(F.col("key")))])
+    words = F.split("key", " ")
+    coded = sides.where("key != ''").select("*", words.alias("words")).select("key", "t", "e", numbered(F.col("words")).alias("w"), *[c.alias(f"c{i}") for i, c in enumerate(segment_codes(F.col("key")))])
     blocks = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y")) for n, (i, j) in enumerate(PAIRS)]))
     keyed = coded.select("*", F.size("w").alias("size"), blocks.alias("b")).select("key", "t", "e", "w", "size", "b.*", *[f"c{i}" for i in range(SEGMENTS)])
     left = keyed.where("t").select(*[F.col(c).alias(f"l_{c}") for c in keyed.columns])
