@@ -29,18 +29,19 @@ def degrees(vertices: DataFrame, references: DataFrame) -> DataFrame:
     return vertices.select("id").join(sums, "id", "left").select("id", zero("in_degree"), zero("out_degree"))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 1) -> DataFrame:
     """(id, rank), summing to 1: (1 - d) / n + d * sum(rank / out degree), ``rounds`` times; what vertices without edges hold is lost, then all is scaled.
 
-    ``edges`` are distinct. The edge table is joined with its out degrees once; each round is one join on src and one sum on dst.
+    ``edges`` are distinct. The edge table is joined with its out degrees once; each round is one join on src and one sum on dst,
+    and every ``cut_every`` rounds the ranks, a row per vertex, are written.
     """
-    ids = vertices.select("id").distinct()
+    ids = written(vertices.select("id").distinct())
     n = ids.count()
     if n == 0:
         return ids.withColumn("rank", F.lit(0.0))
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     links = written(edges.join(out, "src").select("src", "dst", (1.0 / F.col("out")).alias("share")))
-    ranks = written(ids.withColumn("rank", F.lit(1.0 / n)))
+    ranks = ids.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, rounds + 1):
         sent = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         ranks = ids.join(sent, ids["id"] == sent["dst"], "left").select("id", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
