@@ -56,7 +56,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 10, backwards: bool
 
     Breadth first: each round joins only the newest frontier, and what was seen before is left out by an anti join.
     """
-    step = edges.select(F.col("dst" if backwards else "src").alias("at"), F.col("src" if backwards else "dst").alias("id")).distinct()
+    step = written(edges.select(F.col("dst" if backwards else "src").alias("at"), F.col("src" if backwards else "dst").alias("id")).distinct())
     seen = starts.select("id").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for d in range(1, depth + 1):
@@ -122,10 +122,10 @@ def enclosing(points: DataFrame, spans: DataFrame, file: str = "file") -> DataFr
     The range join is an equality on blocks of lines: a span is listed in each block of 64 lines it touches.
     """
     blocks = spans.select("*", F.explode(F.sequence(F.floor(F.col("first") / 64), F.floor(F.col("last") / 64))).alias("_b"))
-    keyed = points.withColumn("_b", F.floor(F.col("line") / 64)).withColumn("_p", F.monotonically_increasing_id())
+    keyed = points.select(file, "line").distinct().withColumn("_b", F.floor(F.col("line") / 64))
     hit = keyed.join(blocks, [file, "_b"]).where("line between first and last")
-    best = hit.groupBy("_p").agg(F.min_by("id", F.struct(F.col("last") - F.col("first"), F.col("id"))).alias("inside"))
-    return keyed.join(best, "_p", "left").drop("_p", "_b")
+    best = hit.groupBy(file, "line").agg(F.min_by("id", F.struct(F.col("last") - F.col("first"), F.col("id"))).alias("inside"))
+    return points.join(best, [file, "line"], "left")
 
 
 def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
