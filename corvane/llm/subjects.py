@@ -7,7 +7,8 @@ Every sentence is put to labelling functions for each subject:
 - source: the same for the document's source.
 The votes of a sentence on a subject form one of few patterns. An EM over the counts of all patterns of all documents learns
 for each function how often it votes as it does where the subject is dealt with and where not, and gives each pattern its
-posterior. A document has the subjects that a quarter of its sentences deal with.
+posterior. A document has the subjects that a quarter of its sentences deal with: those with a term of the subject and a
+posterior of a half or more. Section, address and source weigh such sentences; alone they assign none.
 """
 
 from __future__ import annotations
@@ -216,7 +217,11 @@ def learn(patterns: dict[tuple[int, ...], float], levels: list[int], rounds: int
 
 
 def subject_posteriors(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "repo", source: str = "source") -> DataFrame:
-    """(doc, subject, sentences, share): per document and subject the expected share of its sentences that deal with it."""
+    """(doc, subject, sentences, share, dealt): per document and subject the expected share of its sentences that deal with it, and
+    the share of those that more likely do than not.
+
+    Only sentences with a term of the subject count: those without one can't be told from polite ones (README has the figures).
+    """
     spark = df.sparkSession
     kind = dict(df.dtypes)[doc_id]
     rows = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.coalesce(F.col(repo), F.lit("")).alias("repo"), F.coalesce(F.col(source), F.lit("")).alias("source"))
@@ -244,8 +249,8 @@ def subject_posteriors(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     schema = "lexicon int, section int, address int, origin int, p double"
     table = spark.createDataFrame([(*k, v) for k, v in post.items() if k[0]], schema)
     dealt = cast.join(F.broadcast(table), ["lexicon", "section", "address", "origin"])
-    share = dealt.groupBy("doc", "subject", "total").agg(F.sum(F.col("n") * F.col("p")).alias("expected"))
-    return share.join(F.broadcast(names), "subject").select("doc", F.col("name").alias("subject"), F.col("total").alias("sentences"), (F.col("expected") / F.col("total")).alias("share"))
+    share = dealt.groupBy("doc", "subject", "total").agg(F.sum(F.col("n") * F.col("p")).alias("expected"), F.sum(F.when(F.col("p") >= 0.5, F.col("n")).otherwise(0)).alias("likely"))
+    return share.join(F.broadcast(names), "subject").select("doc", F.col("name").alias("subject"), F.col("total").alias("sentences"), (F.col("expected") / F.col("total")).alias("share"), (F.col("likely") / F.col("total")).alias("dealt"))
 
 
 def assign_subjects(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "repo", source: str = "source", least: float = 0.25) -> DataFrame:
@@ -255,7 +260,7 @@ def assign_subjects(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     unknown each; rows repeated under one id count once. A text is read whole. An empty table gives an empty result. Other
     columns play no part.
     """
-    return subject_posteriors(df, doc_id, text, repo, source).where(F.col("share") >= least - 0.02).select("doc", "subject")
+    return subject_posteriors(df, doc_id, text, repo, source).where(F.col("dealt") >= least).select("doc", "subject")
 
 
 def subject_shares(df: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "repo", source: str = "source") -> DataFrame:

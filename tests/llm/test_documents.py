@@ -131,3 +131,11 @@ def test_em_tells_functions_apart():
         patterns[a, b] += 1
     post = learn({k: float(v) for k, v in patterns.items()}, [3, 3])
     assert post[2, 2] > 0.95 and post[0, 0] < 0.1 and post[1, 0] < 0.1
+
+
+def test_the_stated_share_is_kept(spark):
+    """A document short of a quarter, though within two hundredths of it, has no subject; one of just a quarter has."""
+    rows = [(i, " ".join([LAW] * 2 + [CHAT] * 2), "issues", "r1") for i in range(30)]
+    rows += [(100, " ".join([LAW] * 12 + [CHAT] * 38), "issues", "r1"), (101, " ".join([LAW] * 12 + [CHAT] * 36), "issues", "r1")]
+    got = {r.doc for r in assign_subjects(docs(spark, rows)).collect()}
+    assert got == {*range(30), 101}
