@@ -203,7 +203,7 @@ def error_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of failed tool events by tool, type and words, over distinct combinations."""
     bad = table(spark, d, "tool_events").where("not success and tool_name is not null").select(F.lower("tool_name").alias("tool"), F.coalesce("error_type", F.lit("unknown")).alias("type")).distinct()
     rows = bad.select(F.concat_ws("/", "tool", "type").alias("id"), "tool", "type", F.array_distinct(ascii_words(F.col("type"))).alias("words"))
-    return M.error_clusters(rows, 0.7)
+    return M.error_clusters(rows)
 
 
 @query("select session_id, count(*) as tools, array_to_string(list(lower(tool_name) order by execution_order, id), '>') as path from (select distinct id, session_id, execution_order, tool_name from tool_events where session_id is not null and tool_name is not null and execution_order is not null) where session_id in (select session_id from agent_sessions where tool_count between 1 and 12) group by 1")
