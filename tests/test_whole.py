@@ -10,3 +10,10 @@ def test_errors_of_one_type_are_one_cluster(spark, tmp_path):
     spark.createDataFrame(rows, "tool_name string, error_type string, success boolean").write.parquet(f"{tmp_path}/tool_events.parquet")
     got = {r.id: r.cluster for r in logs.error_clusters(spark, str(tmp_path)).collect()}
     assert got == {"bash/timeout": "bash/timeout", "edit/timeout": "bash/timeout", "read/not_found": "read/not_found", "grep/": "grep/"}
+
+
+def test_long_and_unlisted_sessions_have_paths(spark, tmp_path):
+    rows = [(i, "long", 40 - i, f"T{i}") for i in range(40)] + [(50, "unlisted", 1, "Read"), (51, "unlisted", 1, "Edit"), (51, "unlisted", 1, "Edit"), (52, None, 1, "x"), (53, "long", 5, None)]
+    spark.createDataFrame(rows, "id long, session_id string, execution_order int, tool_name string").write.parquet(f"{tmp_path}/tool_events.parquet")
+    got = {(r.session_id, r.position): r.tool for r in logs.session_paths(spark, str(tmp_path)).collect()}
+    assert got == {("long", 40 - i): f"t{i}" for i in range(40)} | {("unlisted", 1): "read", ("unlisted", 2): "edit"}
