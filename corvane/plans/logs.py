@@ -26,8 +26,8 @@ def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
     return E.session_summary(windows(spark, d), "user_id", "ts").select("user_id", "window_no", "events", F.round("seconds", 3).alias("seconds"))
 
 
-def _grams(spark: SparkSession, d: str) -> DataFrame:
-    return E.ngrams(windows(spark, d), ["user_id", "window_no"], ["ts", "event_id"], "event_type", "ts", F.col("event_type") != "error", 2, 5)
+def _grams(spark: SparkSession, d: str, high: int = 5) -> DataFrame:
+    return E.ngrams(windows(spark, d), ["user_id", "window_no"], ["ts", "event_id"], "event_type", "ts", F.col("event_type") != "error", 2, high)
 
 
 _GRAMS = (
@@ -220,3 +220,37 @@ def session_paths(spark: SparkSession, d: str) -> DataFrame:
     """Tools in order, of all sessions: one row per position, so that no session is put together in one task."""
     ev = table(spark, d, "tool_events").where("session_id is not null and tool_name is not null").select("id", "session_id", "execution_order", "tool_name").distinct()
     return E.positions(ev, "session_id", ["execution_order", "id"]).select("session_id", F.col("_cv_i").alias("position"), F.lower("tool_name").alias("tool"))
+
+
+@query()
+def workflow_ngrams_whole(spark: SparkSession, d: str) -> DataFrame:
+    """n-grams of 2 to 8 events; tested by brute force."""
+    return _grams(spark, d, 8).groupBy("length", "gram").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("ok"))
+
+
+@query()
+def workflow_scores_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of n-grams of 2 to 8 events."""
+    return E.workflows(_grams(spark, d, 8), "user_id").select("gram", "n", "entities", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"with {_ITEMS}, n as (select count(distinct e) as n from items), sets as ("
+    + " union all ".join(
+        f"select {' || \'|\' || '.join(f'a{i}.item' for i in range(k))} as items, count(*) as support from items a0 {' '.join(f'join items a{i} on a{i}.e = a0.e and a{i - 1}.item < a{i}.item' for i in range(1, k))} group by 1" for k in range(1, 6)
+    )
+    + ") select items, support from sets where support >= (select ceil(0.05 * n) from n)"
+)
+def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of one to five items."""
+    sets = M.itemsets(table(spark, d, "events"), "user_id", _items(), 0.05, 5)
+    return sets.select(F.array_join("items", "|").alias("items"), "support")
+
+
+@query()
+def itemset_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules over sets of up to five items, with one or more on each side; tested by brute force."""
+    ev = table(spark, d, "events")
+    entities = ev.select("user_id", F.explode(_items()).alias("item")).where("item is not null").agg(F.count_distinct("user_id")).first()[0]
+    found = M.rules(M.itemsets(ev, "user_id", _items(), 0.05, 5), entities)
+    return found.select(F.array_join("antecedent", "|").alias("antecedent"), F.array_join("consequent", "|").alias("consequent"), "support", F.round("confidence", 6).alias("confidence"), F.round("lift", 6).alias("lift"))
