@@ -141,6 +141,14 @@ def signature_matches(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.round(S.signature_likeness(F.col("signature"), F.lit("f(payload, limit)")), 6).alias("likeness")).distinct()
 
 
+@query("""select distinct id, round((case when greatest(x, 2) = 0 then 1 else least(x, 2) / greatest(x, 2) end + inter / (len(list_distinct(p)) + 2 - inter)) / 2, 6) as likeness from (select id, len(p) as x, len(list_intersect(list_distinct(p), ['payload', 'limit']))::double as inter, p from
+    (select distinct id, list_filter([trim(regexp_extract(y, '(\\w+)', 1)) for y in string_split(regexp_extract(signature, '\\(([^)]*)\\)', 1), ',')], lambda z: z <> '') as p from chunks where signature is not null))""")
+def signature_likenesses(spark: SparkSession, d: str) -> DataFrame:
+    """All signatures held against one of two parameters; a name that comes twice counts twice as a parameter and once as a name."""
+    c = table(spark, d, "chunks").where("signature is not null").select("id", "signature").distinct()
+    return c.select("id", F.round(S.signature_likeness(F.col("signature"), F.lit("f(payload, limit)")), 6).alias("likeness")).distinct()
+
+
 @query()
 def instruction_criteria(spark: SparkSession, d: str) -> DataFrame:
     """How specific and instructive each manual is."""

@@ -227,6 +227,13 @@ def xml_bodies(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").contains("<")).select("doc_id", xml_escape(F.substring("text", 1, 200)).alias("body"))
 
 
+@query("select doc_id, length(x) as signs, sha256(x) as digest from (select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as x from documents where contains(text, '<'))")
+def xml_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts with markup, escaped, by length and digest."""
+    rows = table(spark, d, "documents").where(F.col("text").contains("<")).select("doc_id", xml_escape(F.col("text")).alias("x"))
+    return rows.select("doc_id", F.length("x").cast("long").alias("signs"), F.sha2("x", 256).alias("digest"))
+
+
 @query("""select lang_key, count(*) as n, min(doc_id) as first from (select doc_id, coalesce(lower(lang), 'unknown') as lang_key from documents) group by 1""")
 def language_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.coalesce(F.lower("lang"), F.lit("unknown")).alias("lang_key")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from datetime import datetime, timedelta
 from itertools import combinations
 
-from corvane.plans import logs
+from corvane.plans import logs, scores, tables
 
 
 def test_errors_of_one_type_are_one_cluster(spark, tmp_path):
@@ -55,3 +56,15 @@ def test_itemsets_and_rules_to_five(spark, tmp_path):
     want = {("|".join(a), "|".join(x for x in c if x not in a)): s for c, s in sets.items() for k in range(1, len(c)) for a in combinations(c, k) if s / sets[a] >= 0.6}
     got = {(r.antecedent, r.consequent): r.support for r in logs.itemset_rules(spark, str(tmp_path)).collect()}
     assert got == want and any(a.count("|") and b.count("|") for a, b in got)
+
+
+def test_whole_texts_are_escaped(spark, tmp_path):
+    text = "plain words " * 40 + "<a href='x'>&\"</a>"
+    spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = "plain words " * 40 + "&lt;a href=&apos;x&apos;&gt;&amp;&quot;&lt;/a&gt;"
+    assert [tuple(r) for r in tables.xml_texts(spark, str(tmp_path)).collect()] == [(1, len(want), hashlib.sha256(want.encode()).hexdigest())]
+
+
+def test_parameters_named_twice_are_kept(spark, tmp_path):
+    spark.createDataFrame([("a", "f(payload, payload)"), ("b", "f(payload, limit)")], "id string, signature string").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {r.id: r.likeness for r in scores.signature_likenesses(spark, str(tmp_path)).collect()} == {"a": 0.75, "b": 1.0}
