@@ -232,6 +232,18 @@ def _armor(text: str, at: int) -> tuple[int, int, str] | None:
     return m.end(), m.end() + len(body.rstrip()), "private_key"
 
 
+def _parts(line: str) -> Iterator[tuple[int, int]]:
+    """Windows over a long line. Each ends with a token, however long, and the next begins OVERLAP before that."""
+    at = 0
+    while True:
+        end = min(len(line), at + 8192)
+        end = TOKEN.match(line, end).end()
+        yield at, end
+        if end >= len(line):
+            return
+        at = end - OVERLAP
+
+
 def spans(text: str, path: str = "") -> list[tuple[int, int, str]]:
     """(begin, end, kind) of every credential value; those of private keys begin behind the BEGIN mark."""
     found: list[tuple[int, int, str]] = []
@@ -259,11 +271,12 @@ def spans(text: str, path: str = "") -> list[tuple[int, int, str]]:
                 # A literal that goes on in the next line is judged whole, and taken up to the end of this line's part.
                 found += [(start + a, start + min(b, m.start()), k) for a, b, k in line_spans(line[: m.start()] + q.group(1) + m.group(1), kinds, path) if a < m.start()]
                 continue
-            for o in range(0, max(1, len(line) - 256 if len(line) > 8192 else 1), 8192 - 256):
-                found += [(start + o + a, start + o + b, k) for a, b, k in line_spans(line[o : o + 8192], kinds, path)]
+            for o, e in _parts(line):
+                found += [(start + o + a, start + o + b, k) for a, b, k in line_spans(line[o:e], kinds, path)]
     return _merged(found)
 
 
+TOKEN = re.compile(r"[^\s\"'`,;]*")
 GOES_ON = re.compile(r"(?<=[\w+/=!-])([\"'`])[ \t]*[+.\\]?[ \t]*\\?\r?$")
 NEXT = re.compile(r"\n[ \t]*[+.]?[ \t]*[\"'`]([^\s\"'`]+)[\"'`]")
 #: A literal that goes on in the next line's literal.

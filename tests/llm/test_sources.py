@@ -149,3 +149,15 @@ def test_provenance(spark):
     got = {r.path: r.reason for r in provenance(spark.createDataFrame(data + data[:5], SCHEMA)).collect()}
     assert got == {"r/src/g1.py": "generated", "r/src/x_pb2.py": "generated", "r/a.go": "generated", "r/static/app.js": "minified", "r/vendor/lib.x/a.py": "vendored", "r/src/v2.py": "vendored", "r/src/d1.py": "data"}
     assert provenance(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("size", [519, 6000])
+@pytest.mark.parametrize("before", [5000, 7891, 8100, 11000, 16000])
+@pytest.mark.parametrize("named", ["", "Authorization: Bearer "])
+def test_values_across_the_windows_of_a_long_line(size, before, named):
+    rng = random.Random(size + before)
+    value = "eyJhbGciOiJIUzI1NiJ9." + "".join(["eyJ", *rng.choices("abcdefghijkABCDEFGHIJK0123456789", k=size - 67)]) + "." + "".join(rng.choices("abcdefghABCDEFGH0123456789", k=42))
+    head = ("var a = b(c); " * 2000)[:before] + " "
+    text = head + named + '"'[: not named] + value + '"'[: not named] + " ; " + "var a = b(c); " * 900
+    found = spans(text, "a/x.js")
+    assert [text[a:b] for a, b, _ in found] == [value]
