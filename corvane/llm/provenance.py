@@ -10,8 +10,10 @@ All measures are sums over chunks, so that no file is ever put together.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -114,21 +116,42 @@ class NameModel:
         return b
 
 
+#: A comment over several lines, by its opening: what ends it.
+BLOCKS = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+PRELUDE = re.compile(r"\s*(?:package|import|using|use|namespace|library|from\s+\S+\s+import|#\s*(?:include|pragma))\b|\s*[\"']use strict[\"']|\s*<\?php")
+#: The marks that count behind package and import lines as well.
+MARK = re.compile(r"^\W*(?:code generated\b.*\bdo not edit\b|@generated\b|<auto-?generated\b)", re.I)
+
+
 def head_says(text: str) -> tuple[bool, bool]:
-    """(generated, copied): what the comment lines say before the first line of code, and no further than ten lines."""
-    made = copied = False
-    for line in text.replace("\r", "").split("\n", 12)[:10]:
+    """(generated, copied): what the comments before the first line of code say. Behind package or import lines only MARK counts."""
+    made = copied = code = False
+    closing = ""
+    for line in text.replace("\r", "").split("\n"):
         if not line.strip():
             continue
-        m = COMMENT.match(line[:400])
-        if not m:
-            break
-        said = m.group(1)
-        made, copied = made or bool(GENERATED.search(said)), copied or bool(COPIED.search(said))
+        if closing:
+            said, closing = line[:400], "" if closing in line else closing
+            said = re.sub(r"^\s*\*?\s?", "", said)
+        else:
+            m = COMMENT.match(line[:400])
+            if not m:
+                if not PRELUDE.match(line):
+                    break
+                code = True
+                continue
+            said, bare = m.group(1), line.strip()
+            for opening, end in BLOCKS.items():
+                if bare.startswith(opening) and end not in bare[len(opening) :]:
+                    closing = end
+        made = made or bool((MARK if code else GENERATED).search(said))
+        copied = copied or (not code and bool(COPIED.search(said)))
     return made, copied
 
 
 FEATURES = ["chars", "names", "kinds", "bits", "mangled", "short", "literal_chars", "lines", "long_chars", "data_lines", *[f"s_{s}" for s in STYLES]]
+#: A file has few names if its chunks have no more than so many between them.
+FEW = 40
 DATA_LINE = re.compile(r"\s*[\[\]{}(\"'\-+\d.][^=;]*[,\[{]?\s*[\])};]*\s*$")
 
 
@@ -162,8 +185,10 @@ def _measured(models: dict[str, NameModel]):
             rows = []
             for path, language, text, start in zip(f["path"], f["language"], f["content"], f["start"], strict=True):
                 kind = family(path, language) or "other"
-                rows.append((path, kind, start, *head_says(text), *measures(text, models.get(kind))))
-            yield pd.DataFrame(rows, columns=["path", "kind", "start", "made", "copied", *FEATURES])
+                names = sorted({zlib.crc32(x.encode()) for x in IDENTIFIER.findall(LITERAL.sub(" ", text))})[: FEW + 1]
+                mark = hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+                rows.append((path, kind, start, *head_says(text), mark, names, *measures(text, models.get(kind))))
+            yield pd.DataFrame(rows, columns=["path", "kind", "start", "made", "copied", "mark", "few", *FEATURES])
 
     return run
 
@@ -182,11 +207,12 @@ def file_measures(df: DataFrame, path: str = "file_path", content: str = "conten
     rows = df.where(F.col(path).isNotNull() & F.col(content).isNotNull())
     rows = rows.select(F.col(path).alias("path"), F.col(content).alias("content"), F.col(language).alias("language"), F.coalesce(F.col(start), F.lit(0)).cast("int").alias("start"))
     models = name_models(rows)
-    schema = "path string, kind string, start int, made boolean, copied boolean, " + ", ".join(f"{c} double" for c in FEATURES)
-    measured = rows.mapInPandas(_measured(models), schema)
+    schema = "path string, kind string, start int, made boolean, copied boolean, mark string, few array<long>, " + ", ".join(f"{c} double" for c in FEATURES)
+    # A piece written twice counts once.
+    measured = rows.mapInPandas(_measured(models), schema).dropDuplicates(["path", "start", "mark"])
     sums = [F.sum(c).alias(c) for c in FEATURES]
     first = F.min(F.struct("start", (~F.col("made")).alias("not_made"), (~F.col("copied")).alias("not_copied"))).alias("first")
-    files = written(measured.groupBy("path").agg(F.min("kind").alias("kind"), first, *sums))
+    files = written(measured.groupBy("path").agg(F.min("kind").alias("kind"), first, F.size(F.array_distinct(F.flatten(F.collect_set("few")))).alias("distinct"), *sums))
     files = files.withColumn("repo", F.substring_index("path", "/", 1))
     shown = [s for s in STYLES if s not in ("short", "flat")]
 
@@ -197,14 +223,14 @@ def file_measures(df: DataFrame, path: str = "file_path", content: str = "conten
     own = sum((F.col(f"s_{s}") for s in shown), F.lit(0.0))
     joined = files.join(shares("l", ["kind"]), "kind").join(shares("r", ["repo", "kind"]), ["repo", "kind"])
     far = lambda p: sum((F.abs(F.col(f"s_{s}") / F.greatest(own, F.lit(1.0)) - F.col(f"{p}_{s}")) for s in shown), F.lit(0.0)) / 2
-    return joined.select("path", "kind", "first", *FEATURES, far("l").alias("from_language"), far("r").alias("from_repo"), own.alias("styled"))
+    return joined.select("path", "kind", "first", "distinct", *FEATURES, far("l").alias("from_language"), far("r").alias("from_repo"), own.alias("styled"))
 
 
 def provenance(df: DataFrame, path: str = "file_path", content: str = "content", language: str = "language", start: str = "start_line") -> DataFrame:
     """(path, reason): the files not written by hand; reason is generated, minified, vendored or data.
 
     A file is all rows of one path; its head is in the row with the smallest start line (null counts as 0). Null paths and
-    contents are left out; an empty file is hand-written; rows written twice change nothing but weights. A hand-written file
+    contents are left out; an empty file is hand-written; rows written twice count once, but for the weights of the models. A hand-written file
     may speak of generated, minified or vendored code: only what a generator or licence would say at the head counts. An
     empty table gives an empty result. Other columns play no part.
     """
@@ -213,7 +239,7 @@ def provenance(df: DataFrame, path: str = "file_path", content: str = "content",
     named = F.greatest(F.col("names"), F.lit(1.0))
     size = F.greatest(F.col("chars"), F.lit(1.0))
     mangled = (F.col("mangled") / named >= MANGLED_SHARE) & (F.col("long_chars") / size >= 0.5)
-    data = (F.col("data_lines") / size >= DATA_SHARE) | ((F.col("literal_chars") / size >= DATA_SHARE) & (F.col("kinds") <= 40))
+    data = (F.col("data_lines") / size >= DATA_SHARE) | ((F.col("literal_chars") / size >= DATA_SHARE) & (F.col("distinct") <= FEW))
     made = ~F.col("first.not_made") | F.lit(False)
     copied = ~F.col("first.not_copied") | F.lit(False)
     foreign = (F.col("from_repo") >= FOREIGN) & (F.col("from_language") >= FOREIGN) & (F.col("styled") >= 20)

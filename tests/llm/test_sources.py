@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corvane.llm.credentials import find_credentials, redact, redacted, spans, with_rests
-from corvane.llm.provenance import provenance
+from corvane.llm.provenance import head_says, provenance
 from corvane.llm.splitting import pieces, split_oversized, unit_lines, unit_starts
 
 SCHEMA = "id string, content string, file_path string, language string, start_line int, end_line int, spans int, path string, kind string, first string, start string"
@@ -161,3 +161,26 @@ def test_values_across_the_windows_of_a_long_line(size, before, named):
     text = head + named + '"'[: not named] + value + '"'[: not named] + " ; " + "var a = b(c); " * 900
     found = spans(text, "a/x.js")
     assert [text[a:b] for a, b, _ in found] == [value]
+
+
+LICENCE = "\n".join(f"// line {i} of a licence" for i in range(14))
+
+
+@pytest.mark.parametrize(
+    "head", [f"{LICENCE}\n\n// Code generated by protoc. DO NOT EDIT.\npackage x\n", "package x\n\n// Code generated by stringer. DO NOT EDIT.\n", "/*\nThis file was automatically generated.\n*/\nint a;\n", '"""\nThis file is auto-generated.\n"""\nx = 1\n']
+)
+def test_whole_head_is_read(head):
+    assert head_says(head) == (True, False)
+
+
+@pytest.mark.parametrize("head", ["x = 1\n# Code generated by x. DO NOT EDIT.\n", "import os\n# generated by hand from notes\n", '"""Doc."""\nx = 1\n"""\n@generated\n"""\n'])
+def test_code_ends_the_head(head):
+    assert head_says(head) == (False, False)
+
+
+def test_data_in_many_pieces(spark):
+    piece = "\n".join(f'  {{ name: "value number {i} of the table", size: {i * 7919}, city: "somewhere else {i}" }},' for i in range(12))
+    rows = [row(f"d{n}", piece.replace("value", f"value {n}"), "a/table.js", "javascript", 1 + 12 * n) for n in range(20)]
+    rows += [row(f"h{n}", f"function step{n}(first, second) {{\n  return first.apply(second, offset{n});\n}}\n", "a/hand.js", "javascript", 1 + 3 * n) for n in range(20)]
+    got = {r.path: r.reason for r in provenance(spark.createDataFrame([*rows, *rows[:5]], SCHEMA)).collect()}
+    assert got == {"a/table.js": "data"}
