@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +28,18 @@ from corvane.session import written
 
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$]*")
 LITERAL = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|\b(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)\b")
-COMMENT = re.compile(r"^\s*(?:/\*[*!]*|\*/?|//[/!]*|#+!?|--+|;+|<!--|\"\"\"|'''|%+)\s?(.*?)(?:\*/|-->)?\s*$")
+COMMENT = re.compile(r"\s*(?:/\*[*!]*|\*/?|//[/!]*|#+!?|--+|;+|<!--|\"\"\"|'''|%+)\s?")
 # What generators write at the head of their output, and what copies of other people's work carry there.
 GENERATED = re.compile(
     r"@generated\b|<auto-?generated\b|^\W*(?:this (?:file|code) (?:is|was) )?(?:auto(?:matically)?[- ]?generated)\b(?!\s+(?:stubs|files|code|tables)\b.*\b(?:stay|are|in step|skipped))|"
     r"\bcode generated by\b|^\W*generated (?:on|by|from|with|at|automatically|using|code|file)\b|\bdo not (?:edit|modify)\b(?!\s+\S+\.\w+\s+by hand)(?=\W*$|.*\bgenerated\b)|"
+    r"(?:^\W*(?:this (?:file|code|module|source) (?:is|was|has been) )?|\b(?:is|was|been) )(?:machine|tool|script|computer|auto(?:matically)?)[- ]?(?:written|made|created|produced|emitted)\b(?=\W*$|\W*(?:from|by|with|via|using|on|at)\b|[.,;:!(])|"
     r"\b(?:manual|hand|local) (?:edits|changes) (?:are|will be) (?:over-?written|lost)|\bchanges will be (?:lost|overwritten)\b|\boutput of \S+\W+(?:regenerate|do not)|\bregenerate instead of\b|\bproduced (?:by|with) \S+ v?\d",
     re.I,
 )
 COPIED = re.compile(
     r"@license\b|@preserve\b|\bunmodified copy of\b|\bvendored (?:copy|from)\b|\bcopied (?:verbatim )?from\b|\breleased under the\b.*\blicen[cs]e\b|"
+    r"\b(?:imported|taken|mirrored|pulled|synced|fetched|forked|downloaded|extracted) (?:\w+ ){0,3}from\b.*https?://\S+(?=.*(?:\b(?:tag|commit|rev|revision|release|version)\b|\bv?\d+\.\d+))|"
     r"\bv?\d+\.\d+(?:\.\d+)?\s*[|(,-]\s*\(?(?:MIT|BSD|ISC|Apache|GPL|LGPL|MPL|Unlicense|Zlib)\b|\b(?:MIT|BSD-\d-Clause|ISC|Apache-2\.0|MPL-2\.0)\b.*https?://\S*licen[cs]e|\bthird[- ]party (?:code|copy|library)\b.*\bdo not\b",
     re.I,
 )
@@ -79,7 +82,7 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: Counter = Counter()
     for language, names in total.items():
         for name, n in names.items():
-            for before, sign in grams(name[:64]):
+            for before, sign in grams(name):
                 rows[language, before, sign] += n
     yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["language", "before", "sign", "n"])
 
@@ -104,7 +107,7 @@ class NameModel:
 
     def bits(self, name: str) -> float:
         if (b := self.cache.get(name)) is None:
-            b, own = 0.0, grams(name[:64])
+            b, own = 0.0, grams(name)
             for before, sign in own:
                 p = (self.signs.get(sign, 0) + 0.5) / (self.total + 50)
                 p = (self.one.get((before[1], sign), 0) + 5 * p) / (self.last.get(before[1], 0) + 5)
@@ -123,36 +126,45 @@ PRELUDE = re.compile(r"\s*(?:package|import|using|use|namespace|library|from\s+\
 MARK = re.compile(r"^\W*(?:code generated\b.*\bdo not edit\b|@generated\b|<auto-?generated\b)", re.I)
 
 
-def head_says(text: str) -> tuple[bool, bool]:
-    """(generated, copied): what the comments before the first line of code say. Behind package or import lines only MARK counts."""
+def head_says(text: str) -> tuple[bool, bool, bool]:
+    """(generated, copied, open): what the comments before the first line of code say, and that no code follows them here.
+
+    Behind package or import lines only MARK counts.
+    """
     made = copied = code = False
     closing = ""
     for line in text.replace("\r", "").split("\n"):
         if not line.strip():
             continue
+        rest = ""
         if closing:
-            said, closing = line[:400], "" if closing in line else closing
+            said, end, rest = line.partition(closing)
+            closing = "" if end else closing
             said = re.sub(r"^\s*\*?\s?", "", said)
         else:
-            m = COMMENT.match(line[:400])
+            m = COMMENT.match(line)
             if not m:
                 if not PRELUDE.match(line):
-                    break
+                    return made, copied, False
                 code = True
                 continue
-            said, bare = m.group(1), line.strip()
+            said = line[m.end() :]
             for opening, end in BLOCKS.items():
-                if bare.startswith(opening) and end not in bare[len(opening) :]:
-                    closing = end
+                if m.group().lstrip().startswith(opening):
+                    said, shut, rest = said.partition(end)
+                    closing = "" if shut else end
+        said = said.rstrip()
         made = made or bool((MARK if code else GENERATED).search(said))
         copied = copied or (not code and bool(COPIED.search(said)))
-    return made, copied
+        if rest.strip():
+            return made, copied, False
+    return made, copied, True
 
 
 FEATURES = ["chars", "names", "kinds", "bits", "mangled", "short", "literal_chars", "lines", "long_chars", "data_lines", *[f"s_{s}" for s in STYLES]]
-#: A file has few names if its chunks have no more than so many between them.
-FEW = 40
-DATA_LINE = re.compile(r"\s*[\[\]{}(\"'\-+\d.][^=;]*[,\[{]?\s*[\])};]*\s*$")
+#: Names are template-like where so few of them, piece by piece, are different ones, or a sign of so many belongs to a name.
+DIVERSITY, NAMES_A_SIGN = 0.35, 0.01
+DATA_LINE = re.compile(r"\s*[\[\]{}(\"'\-+\d.][^=;]*[;\s]*$")
 
 
 def measures(text: str, model: NameModel | None) -> list[float]:
@@ -174,45 +186,49 @@ def measures(text: str, model: NameModel | None) -> list[float]:
         by[style(name)] += 1
     data = 0
     if 2 * literal > len(text):  # lines of data are mostly literals
-        data = sum(len(x) for x in lines if x.strip() and DATA_LINE.match(x[:300]) and not IDENTIFIER.search(LITERAL.sub("", x)))
+        data = sum(len(x) for x in lines if x.strip() and DATA_LINE.match(x) and not IDENTIFIER.search(LITERAL.sub("", x)))
     long_chars = sum(len(x) for x in lines if len(x) > 400 and not re.search(r"[\"'][^\"'\s]{300,}[\"']", x))
     return [float(len(text)), len(names), len(kinds), bits, mangled, sum(n for x, n in kinds.items() if len(x) <= 2), literal, len(lines), long_chars, data, *[by[s] for s in STYLES]]
 
 
-def _measured(models: dict[str, NameModel]):
+def _measured(models: Broadcast):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by = {k: NameModel(v) for k, v in models.value.items()}
         for f in frames:
             rows = []
             for path, language, text, start in zip(f["path"], f["language"], f["content"], f["start"], strict=True):
                 kind = family(path, language) or "other"
-                names = sorted({zlib.crc32(x.encode()) for x in IDENTIFIER.findall(LITERAL.sub(" ", text))})[: FEW + 1]
                 mark = hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
-                rows.append((path, kind, start, *head_says(text), mark, names, *measures(text, models.get(kind))))
-            yield pd.DataFrame(rows, columns=["path", "kind", "start", "made", "copied", "mark", "few", *FEATURES])
+                rows.append((path, kind, start, *head_says(text), mark, *measures(text, by.get(kind))))
+            yield pd.DataFrame(rows, columns=["path", "kind", "start", "made", "copied", "open", "mark", *FEATURES])
 
     return run
 
 
-def name_models(rows: DataFrame) -> dict[str, NameModel]:
-    """Models by family of languages. Bounded: a row for each three signs of an identifier and family."""
-    counts = rows.mapInPandas(_counted, "language string, before string, sign string, n long").groupBy("language", "before", "sign").agg(F.sum("n").alias("n")).where("n > 1")
+def name_counts(rows: DataFrame) -> dict[str, list[tuple[str, str, int]]]:
+    """Counts of three signs by family of languages, over every identifier of every row. Bounded: by the signs of an alphabet, cubed."""
+    counts = rows.mapInPandas(_counted, "language string, before string, sign string, n long").groupBy("language", "before", "sign").agg(F.sum("n").alias("n"))
     by: dict[str, list] = {}
     for r in counts.collect():
         by.setdefault(r[0], []).append((r[1], r[2], r[3]))
-    return {k: NameModel(v) for k, v in by.items()}
+    return by
 
 
 def file_measures(df: DataFrame, path: str = "file_path", content: str = "content", language: str = "language", start: str = "start_line") -> DataFrame:
     """One row per file: its measures, what its head says, and the distance of its naming style from its repository's and language's."""
     rows = df.where(F.col(path).isNotNull() & F.col(content).isNotNull())
     rows = rows.select(F.col(path).alias("path"), F.col(content).alias("content"), F.col(language).alias("language"), F.coalesce(F.col(start), F.lit(0)).cast("int").alias("start"))
-    models = name_models(rows)
-    schema = "path string, kind string, start int, made boolean, copied boolean, mark string, few array<long>, " + ", ".join(f"{c} double" for c in FEATURES)
+    models = df.sparkSession.sparkContext.broadcast(name_counts(rows))
+    schema = "path string, kind string, start int, made boolean, copied boolean, open boolean, mark string, " + ", ".join(f"{c} double" for c in FEATURES)
     # A piece written twice counts once.
     measured = rows.mapInPandas(_measured(models), schema).dropDuplicates(["path", "start", "mark"])
     sums = [F.sum(c).alias(c) for c in FEATURES]
-    first = F.min(F.struct("start", (~F.col("made")).alias("not_made"), (~F.col("copied")).alias("not_copied"))).alias("first")
-    files = written(measured.groupBy("path").agg(F.min("kind").alias("kind"), first, F.size(F.array_distinct(F.flatten(F.collect_set("few")))).alias("distinct"), *sums))
+    # The head of a file goes on through the pieces that hold nothing but comments.
+    at = lambda c: F.min(F.when(c, F.col("start")))
+    code = F.coalesce(at(~F.col("open")), F.lit(2**31 - 1))
+    says = [(F.coalesce(at(F.col(c)), F.lit(2**31 - 1)) <= code).alias(c) for c in ("made", "copied")]
+    any_mark = [F.max(c).alias(f"any_{c}") for c in ("made", "copied")]
+    files = written(measured.groupBy("path").agg(F.min("kind").alias("kind"), *says, *any_mark, *sums))
     files = files.withColumn("repo", F.substring_index("path", "/", 1))
     shown = [s for s in STYLES if s not in ("short", "flat")]
 
@@ -223,31 +239,30 @@ def file_measures(df: DataFrame, path: str = "file_path", content: str = "conten
     own = sum((F.col(f"s_{s}") for s in shown), F.lit(0.0))
     joined = files.join(shares("l", ["kind"]), "kind").join(shares("r", ["repo", "kind"]), ["repo", "kind"])
     far = lambda p: sum((F.abs(F.col(f"s_{s}") / F.greatest(own, F.lit(1.0)) - F.col(f"{p}_{s}")) for s in shown), F.lit(0.0)) / 2
-    return joined.select("path", "kind", "first", "distinct", *FEATURES, far("l").alias("from_language"), far("r").alias("from_repo"), own.alias("styled"))
+    return joined.select("path", "kind", (F.col("made") & F.col("any_made")).alias("made"), (F.col("copied") & F.col("any_copied")).alias("copied"), *FEATURES, far("l").alias("from_language"), far("r").alias("from_repo"), own.alias("styled"))
 
 
 def provenance(df: DataFrame, path: str = "file_path", content: str = "content", language: str = "language", start: str = "start_line") -> DataFrame:
-    """(path, reason): the files not written by hand; reason is generated, minified, vendored or data.
-
-    A file is all rows of one path; its head is in the row with the smallest start line (null counts as 0). Null paths and
-    contents are left out; an empty file is hand-written; rows written twice count once, but for the weights of the models. A hand-written file
-    may speak of generated, minified or vendored code: only what a generator or licence would say at the head counts. An
-    empty table gives an empty result. Other columns play no part.
+    """(path, reason, rule): the files not written by hand; reason is generated, minified, vendored or data.
+
+    rule: what told it: names (cross-entropy), diversity (few different names among literals), style (foreign naming), marker
+    (the comments at the head) or path. A file is all rows of one path; its head are the pieces from the smallest start line
+    (null counts as 0) to the first line of code. Null paths and contents are left out; an empty file is hand-written; rows
+    written twice count once, but for the weights of the models. A hand-written file may speak of generated, minified or
+    vendored code: only what a generator or licence would say at the head counts. An empty table gives an empty result.
+    Other columns play no part.
     """
     f = file_measures(df, path, content, language, start)
     code = ~F.col("kind").isin("markdown", "yaml", "ini")
     named = F.greatest(F.col("names"), F.lit(1.0))
     size = F.greatest(F.col("chars"), F.lit(1.0))
-    mangled = (F.col("mangled") / named >= MANGLED_SHARE) & (F.col("long_chars") / size >= 0.5)
-    data = (F.col("data_lines") / size >= DATA_SHARE) | ((F.col("literal_chars") / size >= DATA_SHARE) & (F.col("distinct") <= FEW))
-    made = ~F.col("first.not_made") | F.lit(False)
-    copied = ~F.col("first.not_copied") | F.lit(False)
-    foreign = (F.col("from_repo") >= FOREIGN) & (F.col("from_language") >= FOREIGN) & (F.col("styled") >= 20)
-    reason = (
-        F.when(made | F.col("path").rlike("(?i)" + GENERATED_PATH.pattern), "generated")
-        .when(code & (mangled | F.col("path").rlike("(?i)" + MINIFIED_PATH.pattern)), "minified")
-        .when(copied | F.col("path").rlike("(?i)" + COPIED_PATH.pattern), "vendored")
-        .when(code & data & (F.col("chars") >= 200), "data")
-        .when(code & foreign, "vendored")
-    )
-    return f.select("path", reason.alias("reason"), "*").where("reason is not null").select(F.col("path"), "reason")
+    rules = {
+        "names": ("minified", code & (F.col("mangled") / named >= MANGLED_SHARE) & (F.col("long_chars") / size >= 0.5)),
+        "diversity": ("data", code & (F.col("chars") >= 200) & ((F.col("data_lines") / size >= DATA_SHARE) | ((F.col("literal_chars") / size >= DATA_SHARE) & ((F.col("kinds") / named <= DIVERSITY) | (F.col("names") / size <= NAMES_A_SIGN))))),
+        "style": ("vendored", code & (F.col("from_repo") >= FOREIGN) & (F.col("from_language") >= FOREIGN) & (F.col("styled") >= 20)),
+        "marker": ("generated", F.col("made")), "path": ("generated", F.col("path").rlike("(?i)" + GENERATED_PATH.pattern)),
+        "marker of a copy": ("vendored", F.col("copied")), "path of a copy": ("vendored", F.col("path").rlike("(?i)" + COPIED_PATH.pattern)),
+        "path of a bundle": ("minified", code & F.col("path").rlike("(?i)" + MINIFIED_PATH.pattern)),
+    }
+    found = F.coalesce(*[F.when(told, F.struct(F.lit(reason).alias("reason"), F.lit(rule).alias("rule"))) for rule, (reason, told) in rules.items()])
+    return f.select("path", found.alias("found")).where("found is not null").select("path", "found.reason", "found.rule")

@@ -57,7 +57,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance(table(spark, sf_dir, "chunks")).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
+    return provenance(table(spark, sf_dir, "chunks")).groupBy("reason", "rule").agg(F.count(F.lit(1)).alias("files"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
