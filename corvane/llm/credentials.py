@@ -1,14 +1,16 @@
 """Credentials in source code and configuration: found by line, and blanked without touching anything else.
 
 One Aho-Corasick automaton holds the openings of all grammars: token formats, key armor, connection strings, headers,
-command flags and names of secrets. It runs over the text once, in overlapping windows; each hit is verified by the grammar
-of its kind on the line it lies in, spans are taken at absolute offsets, and those that overlap become one.
+command flags and names of secrets. It runs over the text once, in overlapping windows. Token formats and key armor are read on
+from the place of the hit, to whatever length; what needs a name or a command before it is read on its line. Spans are taken at
+absolute offsets, and those that overlap become one. Every step is linear in the text, also where that is a single line.
 """
 
 from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,8 +39,9 @@ FIELD_WORDS = set(STRONG) | {"api", "key", "access", "auth", "x", "user", "name"
 
 ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY( BLOCK)?-----")
 ARMOR_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+KEY_LINES = re.compile(r"(?:[ \t\"'+\\n]*+[A-Za-z0-9+/=:,. -]{0,80}+[\"'+\\n; \t]*+\r?(?:\n|$))*+")
 BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
-URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@'\"`<>]*:([^\s'\"`<>/@]+|[^\s'\"`<>@]+)@[\w\[]", re.I)
+URL = re.compile(r"(?<=[a-z0-9])://[^\s/:@'\"`<>]*:([^\s'\"`<>/@]+|[^\s'\"`<>@]+)@[\w\[]", re.I)
 QUERY = re.compile(r"[?&;](?:[\w-]*(?:token|secret|password|passwd|signature|sig|key|auth|pwd))=([^\s&'\"`<>#)\]]+)", re.I)
 SCHEME = re.compile(r"\b(bearer|basic|token)[ \t]+([\w+/.~=-]{8,})", re.I)
 FLAG_P = re.compile(r"(?:mysql\w*|mariadb\w*|sshpass|psql|mysqldump)\b[^\n|;&]*?[ \t]-p[ \t]?(?:'([^']+)'|\"([^\"]+)\"|(\S+))")
@@ -75,16 +78,26 @@ def names_secret(name: str) -> str:
     return ""
 
 
+#: Runs and words that stand in the place of a value.
+STAND_IN = re.compile(r"x{4,}|\*{3,}|\.{3}|-{4,}|_{4,}|0{8,}|1234567(?:89)?0?|abcdef|your|example|changeme|change-me|placeholder|dummy|redacted|insert|replace|todo|vault|environ|getenv|secretstore|\bfake|sample_", re.I)
+
+
+def varied(value: str) -> bool:
+    """Goes back and forth between small letters, capitals and digits, as drawn values do and words don't."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in value if c.isalnum()]
+    return len(kinds) >= 6 and "d" in kinds and sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= 5
+
+
 @lru_cache(maxsize=65536)
 def stands_for_nothing(value: str) -> bool:
     """Placeholders, variables, references to a store, names of fields."""
     v = value.strip()
     low = v.lower()
-    if len(v) < 5 or re.match(r"\$\w+$|\$[({]|%\w+%$|%[sd(]|<|\{\{?|#\{|@\w+$|[&*]\w+$", v) or "${" in v or "{{" in v or "$(" in v or "%(" in v or "<" in v and ">" in v:
+    if len(v) < 5 or re.match(r"\$\w+$|\$[({]|%\w+%$|%[sd(]|<|\{\{?|#\{|@\w+$|[&*]\w+$", v) or "${" in v or "{{" in v or "$(" in v or "%(" in v or re.search(r"<[A-Za-z][\w .-]*>", v):
         return True
     if "://" in v and "@" not in v or low.startswith(("vault:", "env:", "env.", "ssm:", "aws:", "arn:", "secretsmanager:", "op://", "file:", "keyring:", "sops:", "ref+", "kms:", "gcp:", "process.", "os.", "data:", "sha256:", "sha1:", "md5:")) or re.fullmatch(r"(?:~|\.{1,2})?/(?:[\w.@-]+/)*[\w.@-]*", v) and not (v.count("/") == 1 and strong(v) and len(v) >= 24):
         return True
-    if re.search(r"x{4,}|\*{3,}|\.{3}|-{4,}|_{4,}|0{8,}|1234567|abcdef|your|example|changeme|change-me|placeholder|dummy|redacted|insert|replace|todo|vault|environ|getenv|secretstore|\bfake|sample_", low):
+    if STAND_IN.search(low) and not varied(STAND_IN.sub("", v)):
         return True
     parts = words_of(v)
     if low in STAND_INS or parts and all(p in FIELD_WORDS or p in STAND_INS for p in parts):
@@ -199,7 +212,7 @@ def line_spans(line: str, kinds: set[tuple[str, str]], path: str) -> list[tuple[
         code = _is_code(line, path)
         for m in NAME.finditer(line):
             name = m.group().rstrip(".-")
-            if kind := names_secret(name):
+            if kind := names_secret(name[-256:]):  # the last words decide
                 if (m.start() and line[m.start() - 1] in "$%{") and not re.match(r"\s*=", line[m.end() :]):
                     continue
                 if span := _value_after(line, m.start() + len(name), kind, code):
@@ -222,11 +235,10 @@ def _armor(text: str, at: int) -> tuple[int, int, str] | None:
     m = ARMOR.match(text, at)
     if not m:
         return None
-    end = ARMOR_END.search(text, m.end(), m.end() + 65536)
-    body = text[m.end() : end.start() if end else m.end() + 65536]
-    if not end:
-        lines = re.match(r"(?:[ \t\"'+\\n]*[A-Za-z0-9+/=:,. -]{0,80}[\"'+\\n; \t]*\r?(?:\n|$))*", body)
-        body = body[: lines.end()] if lines else ""
+    other = text.find("-----BEGIN", m.end())
+    upto = other if other >= 0 else len(text)
+    end = ARMOR_END.search(text, m.end(), upto)
+    body = text[m.end() : end.start()] if end else text[m.end() : KEY_LINES.match(text, m.end(), upto).end()]
     if not BODY.search(body) or re.search(r"x{8}|\.\.\.|your|<", body, re.I):
         return None
     return m.end(), m.end() + len(body.rstrip()), "private_key"
@@ -244,38 +256,69 @@ def _parts(line: str) -> Iterator[tuple[int, int]]:
         at = end - OVERLAP
 
 
-def spans(text: str, path: str = "") -> list[tuple[int, int, str]]:
-    """(begin, end, kind) of every credential value; those of private keys begin behind the BEGIN mark."""
-    found: list[tuple[int, int, str]] = []
+def _hits(text: str) -> Iterator[tuple[int, str, str]]:
+    """(offset, kind, opening) of every opening; those in the overlap of two windows come twice."""
     for base in range(0, max(1, len(text) - OVERLAP if len(text) > WINDOW else 1), WINDOW - OVERLAP):
         window = text[base : base + WINDOW]
         low = window.lower()
         if len(low) != len(window):
             low = window.translate(_LOWER)
-        lines: dict[int, set[tuple[str, str]]] = {}
         for end, (kind, size, opening) in automaton().iter(low):
-            at = base + end - size + 1
-            if kind == "armor":
-                if span := _armor(text, at):
-                    found.append(span)
-            elif kind == "tail":
-                if ARMOR_END.match(text, at) and not text.rfind("-----BEGIN", 0, at) >= 0 and (m := re.search(r"(?:^[ \t]*[A-Za-z0-9+/=]{16,}[ \t]*\r?\n)+\Z", text[max(0, at - 65536) : at], re.M)):
-                    start = max(0, at - 65536) + m.start()
-                    found.append((start, at, "private_key_tail"))
-            else:
-                lines.setdefault(text.rfind("\n", 0, at) + 1, set()).add((kind, opening))
-        for start, kinds in lines.items():
-            end = text.find("\n", start)
-            line = text[start : end if end >= 0 else len(text)]
-            if end >= 0 and (m := GOES_ON.search(line)) and (q := NEXT.match(text, end)):
+            yield base + end - size + 1, kind, opening
+
+
+def _token(text: str, at: int, opening: str) -> tuple[int, int, str] | None:
+    """The token that begins at ``at``, read as far as its format goes."""
+    if at and (text[at - 1].isalnum() or text[at - 1] == "_") or not (m := _FORMAT[opening].match(text, at)):
+        return None
+    whole = m.group()
+    if stands_for_nothing(whole) or not (opening in ("akia", "asia") or any(c.isdigit() for c in whole)) or "data:" in text[max(0, at - 40) : at].rsplit("\n", 1)[-1]:
+        return None
+    return (*m.span(), opening.strip("_-."))
+
+
+def _tail(text: str, at: int) -> tuple[int, int, str] | None:
+    """Lines of key material right before an END mark."""
+    start = at
+    while start > 0 and KEY_LINE.fullmatch(text, before := text.rfind("\n", 0, start - 1) + 1, start):
+        start = before
+    return (start, at, "private_key_tail") if start < at else None
+
+
+def spans(text: str, path: str = "") -> list[tuple[int, int, str]]:
+    """(begin, end, kind) of every credential value; those of private keys begin behind the BEGIN mark."""
+    found: list[tuple[int, int, str]] = []
+    ends = [m.start() for m in re.finditer("\n", text)]
+    first_key = text.find("-----BEGIN")
+    lines: dict[int, list[tuple[int, str, str]]] = {}
+    for at, kind, opening in _hits(text):
+        if kind == "armor":
+            found += [span] if (span := _armor(text, at)) else []
+        elif kind == "tail":
+            if ARMOR_END.match(text, at) and not 0 <= first_key < at:
+                found += [span] if (span := _tail(text, at)) else []
+        else:
+            if kind == "format":
+                found += [span] if (span := _token(text, at, opening)) else []
+            lines.setdefault(bisect_left(ends, at), []).append((at, kind, opening))
+    for number, hits in lines.items():
+        start, end = ends[number - 1] + 1 if number else 0, ends[number] if number < len(ends) else len(text)
+        line = text[start:end]
+        hits.sort()
+        goes_on = (m := GOES_ON.search(line)) and (q := NEXT.match(text, end))
+        for o, e in _parts(line):
+            inside = hits[bisect_left(hits, (start + o,)) : bisect_left(hits, (start + e,))]
+            own = {(kind, opening) for _, kind, opening in inside}
+            if e == len(line) and goes_on and own:
                 # A literal that goes on in the next line is judged whole, and taken up to the end of this line's part.
-                found += [(start + a, start + min(b, m.start()), k) for a, b, k in line_spans(line[: m.start()] + q.group(1) + m.group(1), kinds, path) if a < m.start()]
-                continue
-            for o, e in _parts(line):
-                found += [(start + o + a, start + o + b, k) for a, b, k in line_spans(line[o:e], kinds, path)]
+                joined = line[o : m.start()] + q.group(1) + m.group(1)
+                found += [(start + o + a, start + o + min(b, m.start() - o), k) for a, b, k in line_spans(joined, own, path) if a < m.start() - o]
+            elif own := {h for h in own if h[0] != "format"}:
+                found += [(start + o + a, start + o + b, k) for a, b, k in line_spans(line[o:e], own, path)]
     return _merged(found)
 
 
+KEY_LINE = re.compile(r"[ \t]*[A-Za-z0-9+/=]{16,}[ \t]*\r?\n")
 TOKEN = re.compile(r"[^\s\"'`,;]*")
 GOES_ON = re.compile(r"(?<=[\w+/=!-])([\"'`])[ \t]*[+.\\]?[ \t]*\\?\r?$")
 NEXT = re.compile(r"\n[ \t]*[+.]?[ \t]*[\"'`]([^\s\"'`]+)[\"'`]")
@@ -315,7 +358,10 @@ def _scan(with_content: bool):
                 if with_content:
                     rows.append((i, len(found), redact(text, with_rests(text, found))))
                 else:
-                    rows += [(i, (start or 0) + text.count("\n", 0, a), k, a, e) for a, e, k in found if k != "private_key_tail"]
+                    at, line = 0, start or 0
+                    for a, e, k in found:
+                        at, line = a, line + text.count("\n", at, a)
+                        rows += [(i, line, k, a, e)] if k != "private_key_tail" else []
             names = ["id", "spans", "content"] if with_content else ["id", "line_no", "kind", "begin", "end"]
             kinds = [pa.string(), pa.int32(), pa.string()] if with_content else [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names)

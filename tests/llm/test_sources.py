@@ -204,3 +204,40 @@ def test_head_goes_on_over_pieces_and_ends_with_code(spark):
     rows += [row("c", "// " + "word " * 2000 + "generated by x.\n// do not edit, generated\nint a;", "r/c.c", "c"), row("d", "x" * 300_000 + " = 1", "r/d.py")]
     got = {(r.path, r.reason, r.rule) for r in provenance(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {("r/a.go", "generated", "marker"), ("r/c.c", "generated", "marker")}
+
+
+def jwt(rng, size=511):
+    return "eyJhbGciOiJIUzI1NiJ9." + "".join(["eyJ", *rng.choices("abcdefghijkABCDEFGHIJK0123456789", k=size - 67)]) + "." + "".join(rng.choices("abcdefghABCDEFGH0123456789", k=42))
+
+
+@pytest.mark.parametrize("at", [0, 4000, 7693, 8000, 8192, 12_288, 500_001, 1_044_000, 1_048_570, 1_052_000])
+def test_a_token_anywhere_on_a_long_line(at):
+    value, unit = jwt(random.Random(at)), "var a = b(c); "
+    text = (unit * (at // len(unit) + 1))[:at] + ' "' + value + '" ; ' + unit * ((1_100_000 - at) // len(unit))
+    assert [text[a:b] for a, b, _ in spans(text, "a/x.js")] == [value]
+
+
+@pytest.mark.parametrize("lines", [3, 2000])
+def test_keys_of_any_length(lines):
+    rng = random.Random(lines)
+    body = "".join("".join(rng.choices("abcdefghABCDEFGH0123456789+/", k=64)) + "\n" for _ in range(lines))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----\n", "-----END RSA PRIVATE KEY-----\n"
+    whole = f"x\n{begin}{body}{end}y\n"
+    assert spans(whole) == [(1 + len(begin), len(whole) - len(end) - 3, "private_key")]
+    cut = f"{begin}{body}"
+    assert [b for _, b, _ in spans(cut)] == [len(cut) - 1]
+    tail = f"{body}{end}y\n"
+    assert spans(tail) == [(0, len(body), "private_key_tail")]
+    two = f"{begin}{body}\nsome text; more text (here)\n{begin}{body}{end}"
+    assert len(spans(two)) == 2 and "text; more" in redact(two, spans(two))
+
+
+@pytest.mark.parametrize("value", ["Tr0ub4dor&example9", "qR7vault2Zx9Kp", "yourT9x2Kq8Zp"])
+def test_a_value_that_holds_a_word_of_a_stand_in(value):
+    text = f'password = "{value}"'
+    assert [text[a:b] for a, b, _ in spans(text)] == [value]
+
+
+@pytest.mark.parametrize("value", ["my-example-token-1234", "your-password-1", "example2024", "xxxxxxxx1234", "changeme99", "vault-path-7"])
+def test_stand_ins(value):
+    assert spans(f'password = "{value}"') == []
