@@ -4,8 +4,9 @@
 2. A vector is the sum of one codeword from each of several full-dimensional codebooks. They are trained one after another on
    the residuals of a bounded sample; codes are found by a beam search over all codebooks, and the squared norm of the sum
    is stored with the codes.
-3. The first codebook also says where to look: a vector is held against those with its own first codeword and with the
-   ``probes`` next ones. A crowded codeword is cut into cells by the second one. Codebook sizes follow the root of the row count.
+3. The first codebook also says where to look: a vector is held against those nearest to the same first codeword and to the
+   ``probes`` next ones. A crowded codeword is cut by centres of its own, fitted on a bounded sample of its vectors, as many as
+   its rows ask for; a vector then looks into the nearest of these cells, COPIES in all. Codebook sizes follow the row count.
 4. Within a cell scores come from a table of inner products of the query with all codewords; the best ``rerank`` are scored
    exactly, and the best k of all probed cells stand.
 """
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,12 @@ from corvane.session import written
 #: Vectors that the codebooks are fitted on, at most; a hash of the vector decides which.
 SAMPLE = 65_536
 BOOKS, WORDS, BEAM = 4, 128, 4
-#: Cells of more vectors than this are cut by the second codebook; blocks of a cell that one task compares.
-CROWDED, BLOCK_ROWS = 8192, 4096
+#: Codewords nearest to more vectors than CROWDED are cut into cells of about CELL_ROWS, by centres fitted on LOCAL vectors at most.
+CROWDED, CELL_ROWS, LOCAL = 2048, 512, 16_384
+#: Cells a vector is sent to, at most; blocks of a cell that one task compares.
+COPIES, BLOCK_ROWS = 4, 8192
+#: A cell's number is that of its codeword times WIDE, plus that of its own centre.
+WIDE = 1 << 20
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -86,30 +92,39 @@ class AdditiveQuantiser:
         codes, cost = codes[np.arange(n), top], cost[np.arange(n), top]
         return codes, 2 * (cost + dots[np.arange(n)[:, None], codes].sum(1))
 
-    def cells(self, x: np.ndarray, codes: np.ndarray, more: int, crowded: np.ndarray, second: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row numbers, cells) where to look for neighbours of x beside its own cell.
-
-        A cell is first word * (words of the second book + 1), plus second word + 1 where the first is crowded.
-        """
-        first, wide = self.books[0], len(self.books[1]) + 1
-        own = codes[:, 0].astype(np.int64) * wide + np.where(crowded[codes[:, 0]], codes[:, 1] - self.starts[1] + 1, 0)
-        score = (first**2).sum(1) / 2 - x @ first.T
-        best = np.argsort(score, axis=1)[:, : more + 1] if len(first) <= more + 1 else np.argpartition(score, more, axis=1)[:, : more + 1]
-        order = np.argsort(np.take_along_axis(score, best, 1), axis=1, kind="stable")
-        best = np.take_along_axis(best, order, 1)
-        taken = np.zeros(len(x), dtype=np.int64)
-        for c in best.T:
-            at = np.nonzero((~crowded[c]) & (c * wide != own) & (taken < more))[0]
-            taken[at] += 1
-            yield at, c[at] * wide
-            at = np.nonzero(crowded[c])[0]
-            if len(at):
-                book = self.books[1]
-                inner = (book**2).sum(1) / 2 - (x[at] - first[c[at]]) @ book.T
-                take = np.argpartition(inner, min(second, len(book)) - 1, axis=1)[:, :second]
-                for s in take.T:
-                    new = c[at] * wide + s + 1 != own[at]
-                    yield at[new], (c[at] * wide + s + 1)[new]
+
+def cells(first: np.ndarray, x: np.ndarray, local: dict[int, np.ndarray], more: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The home cell of each row of x, and [(row numbers, cells)] of the other cells where to look for its neighbours."""
+    half = (first**2).sum(1) / 2 - x @ first.T
+    near = min(more + 1, len(first))
+    best = np.argpartition(half, near - 1, axis=1)[:, :near]
+    best = np.take_along_axis(best, np.argsort(np.take_along_axis(half, best, 1), axis=1, kind="stable"), 1)
+    rows, found, cost, home = np.arange(len(x)), [], [], np.zeros(len(x), dtype=np.int64)
+    for j, c in enumerate(best.T):
+        cut = np.isin(c, list(local)) if local else np.zeros(len(x), dtype=bool)
+        found.append(np.where(cut, -1, c.astype(np.int64) * WIDE))
+        cost.append(np.where(cut, np.inf, half[rows, c]))
+        own = [(np.full(len(x), -1), np.full(len(x), np.inf)) for _ in range(COPIES if cut.any() else 0)]
+        for w in np.unique(c[cut]):
+            at, centres = np.nonzero(cut & (c == w))[0], local[int(w)]
+            d = (centres**2).sum(1) / 2 - x[at] @ centres.T
+            for (cell, price), s in zip(own, np.argsort(d, axis=1, kind="stable")[:, :COPIES].T, strict=False):
+                cell[at], price[at] = int(w) * WIDE + s + 1, d[np.arange(len(at)), s]
+        found += [cell for cell, _ in own]
+        cost += [price for _, price in own]
+        if j == 0:
+            home = found[0] if not own else np.where(cut, own[0][0], found[0])
+    every, price = np.stack(found, 1), np.stack(cost, 1)
+    price = np.where((every == home[:, None]) | (every < 0), np.inf, price)
+    order = np.argsort(price, axis=1, kind="stable")[:, : max(more, COPIES - 1) if local else more]
+    out = []
+    for turn, at in enumerate(order.T):
+        take = np.isfinite(price[rows, at])
+        if turn >= more:  # beyond the plain number of probes only cut codewords give cells
+            take &= every[rows, at] % WIDE > 0
+        if take.any():
+            out.append((rows[take], every[rows, at][take]))
+    return home, out
 
 
 def unit_rows(vectors: pa.ChunkedArray | pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,34 +153,55 @@ def _stack(column: pa.Array | pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(map(bytes, data)), dtype=np.float32).reshape(len(data), -1)
 
 
-def _first_words(model: AdditiveQuantiser):
+def _first_words(first: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                codes, _ = model.encode(_stack(b.column(0).slice(i, 2048)))
-                yield pa.RecordBatch.from_arrays([pa.array(codes[:, 0])], ["c1"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(_stack(b.column(1)), first).astype(np.int32))], ["vid", "x", "c1"])
 
     return run
 
 
-def _placed(model: AdditiveQuantiser, more: int, second: int, crowded: np.ndarray):
-    """Each vector once with its codes, in its own cell, and once for each other cell that it is to be held against."""
+def _centres(sizes: dict[int, int]):
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        x = _stack(f["x"])
+        found = kmeans(x, max(1, min(-(-sizes[key[0]] // CELL_ROWS), len(x) // 8)), np.random.default_rng(7)).astype(np.float32)
+        return pd.DataFrame({"c1": key[0], "x": [r.tobytes() for r in found]})
+
+    return run
+
+
+def local_centres(classes: DataFrame, first: np.ndarray) -> dict[int, np.ndarray]:
+    """Centres of each crowded codeword. Bounded: a row for each codeword, and a centre for each CELL_ROWS vectors, 256 bytes at 64
+    numbers, so 50 MB for 100 million vectors; each codeword's are fitted by one task on LOCAL vectors at most."""
+    words = classes.select("vid", "x").mapInArrow(_first_words(first), "vid long, x binary, c1 int")
+    sizes = {r[0]: r[1] for r in words.groupBy("c1").count().where(F.col("count") > CROWDED).collect()}
+    if not sizes:
+        return {}
+    share = classes.sparkSession.createDataFrame([(w, min(1.0, LOCAL / n)) for w, n in sizes.items()], "c1 int, share double")
+    sample = words.join(F.broadcast(share), "c1").where(F.pmod(F.xxhash64(F.lit(5), "vid"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    out: dict[int, list[bytes]] = {}
+    for r in sample.select("c1", "x").groupBy("c1").applyInPandas(_centres(sizes), "c1 int, x binary").collect():
+        out.setdefault(r[0], []).append(bytes(r[1]))
+    return {w: _stack(pd.Series(rows)) for w, rows in out.items()}
+
+
+def _placed(known: Broadcast, more: int):
+    """Each vector once with its codes, in its home cell, and once for each other cell that it is to be held against."""
     names = ["vid", "x", "cell", "code", "norm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, local = known.value
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
                 x = _stack(part.column(1))
                 codes, norms = model.encode(x)
-                wide = len(model.books[1]) + 1
-                cell = codes[:, 0].astype(np.int64) * wide + np.where(crowded[codes[:, 0]], codes[:, 1] - model.starts[1] + 1, 0)
+                home, others = cells(model.books[0], x, local, more)
                 code = pa.array([r.tobytes() for r in codes.astype("<u2")], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell), code, pa.array(norms.astype(np.float32))], names)
-                for at, cells in model.cells(x, codes, more, crowded, second):
-                    if len(at):
-                        rows = part.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(cells.astype(np.int64)), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.float32())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(home), code, pa.array(norms.astype(np.float32))], names)
+                for at, cell in others:
+                    rows = part.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(cell), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.float32())], names)
 
     return run
 
@@ -199,7 +235,7 @@ def cell_neighbours(model: AdditiveQuantiser, queries: np.ndarray, qid: np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _compared(model: AdditiveQuantiser, k: int, rerank: int):
+def _compared(model: Broadcast, k: int, rerank: int):
     """Neighbours within a cell: rows with codes are data; rows without, and those with codes unless asks is false, are queries."""
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         known = f["code"].notna().to_numpy()
@@ -207,7 +243,7 @@ def _compared(model: AdditiveQuantiser, k: int, rerank: int):
         if not len(queries) or not len(data):
             return pd.DataFrame({"vid": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float32")})
         codes = np.frombuffer(b"".join(map(bytes, data["code"])), dtype="<u2").reshape(len(data), -1).astype(np.int64)
-        a, b, c = cell_neighbours(model, _stack(queries["x"]), queries["vid"].to_numpy(), _stack(data["x"]), data["vid"].to_numpy(), codes, data["norm"].to_numpy(), k, rerank)
+        a, b, c = cell_neighbours(model.value[0], _stack(queries["x"]), queries["vid"].to_numpy(), _stack(data["x"]), data["vid"].to_numpy(), codes, data["norm"].to_numpy(), k, rerank)
         return pd.DataFrame({"vid": a, "other": b, "cosine": c.astype(np.float32)})
 
     return run
@@ -221,17 +257,17 @@ def book_sizes(n: int) -> list[int]:
     return [first, *[WORDS] * (BOOKS - 1)]
 
 
-def class_neighbours(classes: DataFrame, n: int, k: int, more: int, second: int, rerank: int) -> DataFrame:
+def class_neighbours(classes: DataFrame, n: int, k: int, more: int, rerank: int) -> DataFrame:
     """(vid, other, cosine) of the k best others of each distinct vector (vid, x)."""
     share = min(1.0, SAMPLE / n)
     sample = classes if share >= 1 else classes.where(F.xxhash64(F.lit(3), "vid") <= int((2 * share - 1) * (2**63 - 1)))
     model = AdditiveQuantiser.fit(_stack(sample.select("x").toPandas()["x"]), book_sizes(n))
-    # Bounded: one row for each word of the first codebook.
-    sizes = {r[0]: r[1] for r in classes.select("x").mapInArrow(_first_words(model), "c1 int").groupBy("c1").count().collect()}
-    crowded = np.array([sizes.get(i, 0) > CROWDED for i in range(len(model.books[0]))])
-    placed = classes.select("vid", "x").mapInArrow(_placed(model, more, second, crowded), "vid long, x binary, cell long, code binary, norm float")
+    local = local_centres(classes, model.books[0])
+    known = classes.sparkSession.sparkContext.broadcast((model, local))
+    placed = classes.select("vid", "x").mapInArrow(_placed(known, more), "vid long, x binary, cell long, code binary, norm float")
     keys = ["cell"]
-    if crowded.any():
+    if local:
+        placed = written(placed)
         # A cell of several blocks: every block of queries meets every block of data, in tasks of their own.
         parts = placed.groupBy("cell").agg(F.ceil(F.count("code") / BLOCK_ROWS).cast("int").alias("parts")).where("parts > 1")
         cut = placed.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -242,13 +278,13 @@ def class_neighbours(classes: DataFrame, n: int, k: int, more: int, second: int,
         placed, keys = asked.unionByName(data).drop("parts"), ["cell", "qb", "db"]
     else:
         placed = placed.withColumn("asks", F.lit(True)).withColumn("answers", F.lit(True))
-    found = placed.groupBy(*keys).applyInPandas(_compared(model, k, rerank), "vid long, other long, cosine float")
+    found = placed.groupBy(*keys).applyInPandas(_compared(known, k, rerank), "vid long, other long, cosine float")
     best = found.groupBy("vid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "other"))), 1, k).alias("best"))
     return best.select("vid", F.explode("best").alias("b")).select("vid", F.col("b.other").alias("other"), (-F.col("b.d")).alias("cosine"))
 
 
 def nearest_neighbours(
-    df: DataFrame, name: str = "content_hash", vector: str = "vector", size: int = 64, k: int = 5, probes: int = 1, second_probes: int = 16, rerank: int = 256,
+    df: DataFrame, name: str = "content_hash", vector: str = "vector", size: int = 64, k: int = 5, probes: int = 1, rerank: int = 256,
 ) -> DataFrame:
     """(name, other, cosine): for each name with a usable vector, k others of the highest cosine, as far as found.
 
@@ -269,7 +305,7 @@ def nearest_neighbours(
         return spark.createDataFrame([], "name string, other string, cosine double")
     salted = named.groupBy("vid", F.pmod(F.xxhash64("name"), F.lit(16)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("name")), 1, k + 1).alias("names"))
     members = written(salted.groupBy("vid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("names"))), 1, k + 1).alias("names")))
-    flat = class_neighbours(classes, n, k, probes, second_probes, rerank)
+    flat = class_neighbours(classes, n, k, probes, rerank)
     others = flat.join(members.select(F.col("vid").alias("other"), "names"), "other").select("vid", "cosine", F.explode("names").alias("name"))
     shared = members.where(F.size("names") > 1).select("vid", F.lit(1.5).cast("float").alias("cosine"), F.explode("names").alias("name"))
     lists = others.unionByName(shared).groupBy("vid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "name"))), 1, 2 * k + 1).alias("list"))

@@ -21,6 +21,8 @@ from corvane.llm.runs import sequence_events, sequence_order
 from corvane.operators.ordering import BLOCK, in_block, ordered_blocks
 from corvane.session import written
 
+#: Item numbers in the packed sequences.
+CODE = "<u4"
 #: Events of a sequence that are shortened at a time, and suffixes that one task extends at a time.
 PIECE, SHARE = 8192, 50_000
 
@@ -65,11 +67,11 @@ def _shortened(k: int):
 
 
 def bytes_of(items: list[int]) -> bytes:
-    return np.asarray(items, dtype="<u2").tobytes()
+    return np.asarray(items, dtype=CODE).tobytes()
 
 
 def ints_of(b: bytes) -> list[int]:
-    return np.frombuffer(bytes(b), dtype="<u2").tolist()
+    return np.frombuffer(bytes(b), dtype=CODE).tolist()
 
 
 def _packed(k: int):
@@ -169,7 +171,7 @@ def sequences(events: DataFrame, items: DataFrame, max_len: int) -> DataFrame:
         most = level.groupBy("s").agg(F.sum(F.length("items")).alias("n"), F.count(F.lit(1)).alias("parts")).agg(F.max("n"), F.max("parts")).first()
         if not most[1] or most[1] == 1:
             return level.select("s", "items")
-        by = F.lit(0) if most[0] <= 16 * PIECE else F.floor(F.col("part") / 16).cast("int")
+        by = F.lit(0) if most[0] <= 32 * PIECE else F.floor(F.col("part") / 16).cast("int")
         single = F.struct("part", "items")
         lists = level.groupBy("s", by.alias("up")).agg(F.transform(F.array_sort(F.collect_list(single)), lambda x: x["items"]).alias("list"))
         level = written(lists.select("s", F.col("up").alias("part"), "list").mapInPandas(_joined(max_len), "s string, part int, items binary"))
@@ -229,9 +231,11 @@ def frequent_subsequences(
         if length >= min_len:
             found = level if found is None else found.unionByName(level)
     dictionary = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
-    steps = F.transform(F.sequence(F.lit(0), F.col("length") - 2), lambda i: F.conv(F.concat(F.hex(F.substring("prefix", 2 * i + 2, F.lit(1))), F.hex(F.substring("prefix", 2 * i + 1, F.lit(1)))), 16, 10).cast("int"))
+    # Item numbers are little-endian: the four bytes in reverse.
+    byte = lambda i, n: F.hex(F.substring("prefix", 4 * i + n, F.lit(1)))
+    steps = F.transform(F.sequence(F.lit(0), F.col("length") - 2), lambda i: F.conv(F.concat(*[byte(i, n) for n in (4, 3, 2, 1)]), 16, 10).cast("int"))
     if found is None:
         return spark.createDataFrame([], "pattern string, length int, support long")
-    rows = found.select("first", "prefix", "support", (F.length("prefix") / 2 + 1).cast("int").alias("length"))
+    rows = found.select("first", "prefix", "support", (F.length("prefix") / 4 + 1).cast("int").alias("length"))
     codes = F.concat(F.array("first"), steps)
     return rows.select(F.array_join(F.transform(codes, lambda i: F.element_at(dictionary, i + 1)), ">").alias("pattern"), "length", "support")

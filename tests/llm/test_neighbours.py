@@ -37,11 +37,32 @@ def test_recall(spark):
     assert recall(spark, clusters(3000)) >= 0.95
 
 
-@pytest.mark.parametrize("crowded", [40, 400])
-def test_recall_with_crowded_cells_in_blocks(spark, monkeypatch, crowded):
+@pytest.mark.parametrize(("crowded", "rows", "rerank"), [(40, 32, 256), (400, 32, 256), (200, 100, 24)])
+def test_recall_with_crowded_cells_in_blocks(spark, monkeypatch, crowded, rows, rerank):
     monkeypatch.setattr(N, "CROWDED", crowded)
-    monkeypatch.setattr(N, "BLOCK_ROWS", 32)
-    assert recall(spark, clusters(2500, 3)) >= 0.9
+    monkeypatch.setattr(N, "CELL_ROWS", 2 * rows)
+    monkeypatch.setattr(N, "BLOCK_ROWS", rows)
+    assert recall(spark, clusters(2500, 3), rerank=rerank) >= 0.9
+
+
+@pytest.mark.parametrize("rerank", [32, 64])
+def test_recall_by_tables(spark, monkeypatch, rerank):
+    """Cells of some 375 vectors of which only so many, little more than a cluster has, are scored exactly: the tables choose them."""
+    monkeypatch.setattr(N, "book_sizes", lambda n: [8, 128, 128, 128])
+    assert recall(spark, clusters(3000, 4), rerank=rerank) >= 0.9
+
+
+def test_copies_are_bounded():
+    x = clusters(2000, 6)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = AdditiveQuantiser.fit(x, [16, 32])
+    local = {w: x[np.nonzero(N.nearest(x, model.books[0]) == w)[0][:7]] for w in range(0, 16, 2)}
+    home, others = N.cells(model.books[0], x, local, 1)
+    assert (home // N.WIDE == N.nearest(x, model.books[0])).all()
+    counts = sum((np.bincount(at, minlength=len(x)) for at, _ in others), np.ones(len(x), dtype=int))
+    assert counts.max() <= N.COPIES and counts.min() >= 2
+    pairs = np.concatenate([np.stack([np.arange(len(x)), home], 1), *[np.stack(o, 1) for o in others]])
+    assert len(np.unique(pairs, axis=0)) == len(pairs)
 
 
 def test_dirt_and_copies(spark):
