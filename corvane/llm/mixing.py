@@ -1,61 +1,70 @@
 """Sources mixed to target shares of all tokens, by Poisson replication.
 
-The size of the mix and the rate of each source follow from the token counts. A record is used k times, where k is drawn from
-a Poisson distribution capped at the source's max_repeats and with the source's rate as mean: the inverse distribution at a
-number u in [0, 1). Records stand in the order of a seeded hash, and u is the middle of a record's stretch of its source's
-tokens in that order; so u is uniform over the tokens and a source comes out at its rate up to about one record.
+A record is used k times: the inverse of a Poisson distribution, capped at the source's max_repeats, at a number u that the
+seeded hash of its id gives it, one of BINS. The tokens of each source and bin are summed once; from these sums the mean of a
+source's distribution is set so that the copies it gives come to the source's share of the mix. As u is fixed for a record, the
+sum is a step function of the mean that grows by the records of one bin at a time, so a source misses its share by no more
+than half the tokens of a bin, a record or so where it has fewer records than bins.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.tokens import TOKENIZER, with_tokens
-from corvane.operators.ordering import running_sum
 from corvane.session import written
 
+#: Numbers u that a record may have: (bin + 1/2) / BINS.
+BINS = 1 << 14
 
-def capped_mean(rate: float, cap: int) -> float:
-    """Mean of min(K, cap) for K of a Poisson distribution."""
-    p, total, mass = math.exp(-rate), 0.0, 0.0
-    for k in range(cap):
-        total, mass = total + k * p, mass + p
-        p *= rate / (k + 1)
-    return total + cap * max(0.0, 1 - mass)
 
+def distribution(rate: float, cap: int) -> np.ndarray:
+    """P(K <= k) for k = 0 .. cap - 1 of the Poisson distribution of this mean; by logarithms, so for any mean and cap."""
+    if cap < 1:
+        return np.zeros(0)
+    if rate <= 0:
+        return np.ones(cap)
+    k = np.arange(cap, dtype=np.float64)
+    steps = -rate + k * math.log(rate) - np.concatenate([[0.0], np.cumsum(np.log(np.maximum(k[1:], 1.0)))])
+    return np.minimum(np.cumsum(np.exp(steps)), 1.0)
 
-def distribution(mean: float, cap: int) -> list[float]:
-    """P(K <= k) for k = 0 .. cap - 1, of the Poisson distribution capped at ``cap`` that has this mean."""
-    if mean >= cap:
-        return [0.0] * cap
+
+def times(rate: float, cap: int) -> np.ndarray:
+    """How often a record of each bin is used: the inverse distribution at its u, ``cap`` at most."""
+    u = (np.arange(BINS) + 0.5) / BINS
+    return np.full(BINS, max(0, cap)) if math.isinf(rate) else np.searchsorted(distribution(rate, cap), u, side="right")
+
+
+def fitted(tokens: np.ndarray, want: float, cap: int) -> np.ndarray:
+    """Uses by bin of the mean whose copies come nearest to ``want`` tokens; ``tokens`` are the source's by bin."""
+    most = times(math.inf, cap)
+    if cap < 1 or want <= 0:
+        return np.zeros(BINS, dtype=np.int64)
+    if want >= tokens @ most:
+        return most
     low, high = 0.0, 1.0
-    while capped_mean(high, cap) < mean and high < 600:
+    while tokens @ times(high, cap) < want:
         high *= 2
-    for _ in range(80):
+    for _ in range(100):
         mid = (low + high) / 2
-        low, high = (mid, high) if capped_mean(mid, cap) < mean else (low, mid)
-    p, mass, out = math.exp(-low), 0.0, []
-    for k in range(cap):
-        mass += p
-        out.append(min(mass, 1.0))
-        p *= low / (k + 1)
-    return out
+        low, high = (mid, high) if tokens @ times(mid, cap) < want else (low, mid)
+    below, above = times(low, cap), times(high, cap)
+    return below if want - tokens @ below <= tokens @ above - want else above
 
 
-def plan(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: float | None = None) -> dict[str, tuple[float, int]]:
-    """(mean repetition, cap) by source. ``total``: size of the mix in tokens.
+def plan(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: float | None = None) -> dict[str, tuple[float, int, bool]]:
+    """(tokens wanted, cap, short) by source. ``total``: size of the mix in tokens; None: as large as the named sources together.
 
-    None: the largest size at which every source that has tokens still reaches its share under its cap. With a larger total
-    the sources that can't reach their share of it give what they have, and come out short.
+    A source is short if all its records at its cap are less than its share of the mix; it then gives these.
     """
-    have = {s: tokens.get(s, 0) for s, _, _ in targets}
-    limit = {s: have[s] * cap for s, _, cap in targets}
-    size = min((limit[s] / share for s, share, cap in targets if have[s] and share > 0 and cap > 0), default=0.0) if total is None else float(total)
+    size = float(sum(tokens.get(s, 0) for s, _, _ in targets)) if total is None else float(total)
     want = {s: share * size for s, share, _ in targets}
-    return {s: ((min(want[s], limit[s]) / have[s]) if have[s] else 0.0, cap) for s, _, cap in targets}
+    limit = {s: tokens.get(s, 0) * cap for s, _, cap in targets}
+    return {s: (min(want[s], limit[s]), cap, limit[s] < want[s] or (share > 0 and not tokens.get(s))) for s, share, cap in targets}
 
 
 def sized(df: DataFrame, doc_id: str, text: str, source: str, tokenizer: str) -> DataFrame:
@@ -69,9 +78,22 @@ def _targets(targets: DataFrame, source: str, share: str, cap: str) -> list[tupl
     return sorted((r[0], float(r[1] or 0), max(0, int(r[2] if r[2] is not None else 1))) for r in rows)
 
 
+def _drawn(rows: DataFrame, goal: list[tuple[str, float, int]], total: float | None, seed: int) -> tuple[DataFrame, dict[str, tuple[float, int, bool]], dict[str, int]]:
+    """Records with their bin and uses (doc, source, tokens, times), the plan, and the tokens of each source."""
+    own = rows.where((F.col("tokens") > 0) & F.col("source").isin([g[0] for g in goal])).withColumn("bin", F.pmod(F.xxhash64(F.lit(seed), "doc"), F.lit(BINS)).cast("int"))
+    by = {g[0]: np.zeros(BINS) for g in goal}
+    for r in own.groupBy("source", "bin").agg(F.sum("tokens").alias("t")).collect():  # bounded: BINS rows for each source named
+        by[r[0]][r[1]] = r[2]
+    have = {s: int(t.sum()) for s, t in by.items()}
+    rates = plan(goal, have, total)
+    uses = [(s, b, int(n)) for s, (want, cap, _) in rates.items() for b, n in enumerate(fitted(by[s], want, cap)) if n and by[s][b]]
+    table = rows.sparkSession.createDataFrame(uses, "source string, bin int, times int")
+    return own.join(F.broadcast(table), ["source", "bin"]).select("doc", "source", "tokens", "times"), rates, have
+
+
 def mix(
     df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: str = "target_share", cap: str = "max_repeats",
-    total: float | None = None, seed: int = 11, tokenizer: str = TOKENIZER, docs: DataFrame | None = None,
+    total: float | None = None, seed: int = 11, tokenizer: str = TOKENIZER,
 ) -> DataFrame:
     """(doc, source, copy, tokens, shuffle_key) in the order of shuffle_key: every use of every record.
 
@@ -79,17 +101,7 @@ def mix(
     share counts as 0, a null cap as 1. No record is used more than its source's cap. Blank texts have no tokens and are never used.
     The same seed gives the same mix. An empty table gives an empty result. Other columns play no part.
     """
-    rows = docs if docs is not None else sized(df, doc_id, text, source, tokenizer)
-    goal = _targets(targets, source, share, cap)
-    per = {r[0]: r[1] for r in rows.where(F.col("source").isin([g[0] for g in goal])).groupBy("source").agg(F.sum("tokens")).collect()}  # bounded by the targets
-    rates = plan(goal, per, total)
-    spark = df.sparkSession
-    steps = spark.createDataFrame([(s, distribution(m, c)) for s, (m, c) in rates.items() if per.get(s)], "source string, steps array<double>")
-    own = rows.where("tokens > 0").join(F.broadcast(steps), "source").withColumn("h", F.xxhash64(F.lit(seed), "doc"))
-    summed = running_sum(own.select("doc", "source", "tokens", "h", "steps"), "source", [F.col("h").asc(), F.col("doc").asc()], "tokens", "before")
-    u: Column = (F.col("before") + F.col("tokens") / 2) / F.col("before_total")
-    times = F.size(F.filter("steps", lambda p: p <= F.col("u")))
-    used = summed.withColumn("u", u).withColumn("times", times).where("times > 0")
+    used, _, _ = _drawn(sized(df, doc_id, text, source, tokenizer), _targets(targets, source, share, cap), total, seed)
     copies = used.select("doc", "source", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"), "tokens")
     return copies.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "doc", "copy")).orderBy("shuffle_key", "doc", "copy")
 
@@ -98,21 +110,21 @@ def share_report(
     df: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: str = "target_share", cap: str = "max_repeats",
     total: float | None = None, seed: int = 11, tokenizer: str = TOKENIZER,
 ) -> DataFrame:
-    """Per target source: target_share, available and used tokens, records used, most uses of a record, share reached, short.
+    """Per target source: target_share, max_repeats, available, wanted and used tokens, records used, most uses of a record, share of the mix reached, short.
 
-    short: the cap or the lack of documents keeps the source more than one part in a hundred under its target.
+    short: its records at the cap of repeats don't reach its share of the mix (also where there are none). The others then
+    have more than their share of what came together, and just their share of the size that was planned.
     """
-    docs = sized(df, doc_id, text, source, tokenizer)
-    used = mix(df, targets, doc_id, text, source, share, cap, total, seed, tokenizer, docs).groupBy("source").agg(
-        F.sum("tokens").alias("used_tokens"), F.countDistinct("doc").alias("records"), F.max("copy").alias("most_uses"),
-    )
-    have = docs.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
-    goal = targets.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("source")).agg(F.max(share).alias("target_share"), F.max(cap).alias("max_repeats"))
-    every = F.broadcast(used.agg(F.sum("used_tokens").alias("all_tokens")))
-    rows = goal.join(have, "source", "left").join(used, "source", "left").join(every)
-    reached = F.coalesce(F.col("used_tokens") / F.col("all_tokens"), F.lit(0.0))
+    goal = _targets(targets, source, share, cap)
+    used, rates, have = _drawn(sized(df, doc_id, text, source, tokenizer), goal, total, seed)
+    per = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("used_tokens"), F.count(F.lit(1)).alias("records"), F.max("times").alias("most_uses"))
+    size = "source string, target_share double, max_repeats int, available_tokens long, wanted_tokens long, short boolean"
+    share_of = {s: t for s, t, _ in goal}
+    planned = df.sparkSession.createDataFrame([(s, share_of[s], c, have[s], round(share_of[s] * (sum(have.values()) if total is None else total)), short) for s, (_, c, short) in rates.items()], size)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.select(
-        "source", "target_share", "max_repeats", zero("available_tokens"), zero("used_tokens"), zero("records"), zero("most_uses"),
-        reached.alias("share_reached"), (reached < F.col("target_share") * 0.99).alias("short"),
+    rows = planned.join(per, "source", "left")
+    every = per.agg(F.sum("used_tokens").alias("all_tokens"))
+    return rows.join(F.broadcast(every)).select(
+        "source", "target_share", "max_repeats", "available_tokens", "wanted_tokens", zero("used_tokens"), zero("records"), zero("most_uses"),
+        F.coalesce(F.col("used_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share_reached"), "short",
     )

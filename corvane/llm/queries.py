@@ -18,6 +18,10 @@ from corvane.llm.subsequences import frequent_subsequences
 from corvane.session import table
 
 
+#: A container of the queries takes one document for so many tokens of its capacity.
+TOKENS_A_DOCUMENT = 16
+
+
 def limit(spark: SparkSession, sf_dir: str, name: str) -> int:
     """A value of the table of limits, which has one row for each name."""
     return int(table(spark, sf_dir, "size_limits").where(F.col("limit_name") == name).agg(F.max("amount")).first()[0])
@@ -79,12 +83,49 @@ def p7_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), limit(spark, sf_dir, "container_capacity"))
+    capacity = limit(spark, sf_dir, "container_capacity")
+    return pack(table(spark, sf_dir, "documents"), capacity, max_docs=capacity // TOKENS_A_DOCUMENT)
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = limit(spark, sf_dir, "container_capacity")
-    return fill_report(pack(table(spark, sf_dir, "documents"), capacity), capacity)
+    return fill_report(p8_containers(spark, sf_dir), capacity)
+
+
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed, containers over a capacity, documents cut though they fit, and documents of which a token is missing or twice."""
+    capacity = limit(spark, sf_dir, "container_capacity")
+    packed = p8_containers(spark, sf_dir)
+    full = packed.groupBy("container").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).agg(F.count(F.when((F.col("t") > capacity) | (F.col("n") > capacity // TOKENS_A_DOCUMENT), 1)).alias("over_capacity"))
+    each = packed.groupBy("doc").agg(F.sum("tokens").alias("t"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.countDistinct("piece").alias("n"), F.count(F.lit(1)).alias("rows"))
+    cut, odd = F.count(F.when((F.col("t") <= capacity) & (F.col("n") > 1), 1)), F.count(F.when((F.col("t") != F.col("end")) | (F.col("n") != F.col("rows")), 1))
+    return each.agg(F.count(F.lit(1)).alias("documents"), cut.alias("cut_needlessly"), odd.alias("not_whole")).join(F.broadcast(full))
+
+
+def p6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per oversized chunk: the lines its pieces reach from and to, the characters they hold at least once, and pieces over the limit."""
+    most = limit(spark, sf_dir, "chunk_max")
+    pieces = p6_pieces(spark, sf_dir)
+    return pieces.groupBy("id").agg(F.min("start_line").alias("first_line"), F.max("end_line").alias("last_line"), F.count(F.when(F.length("content") > most, 1)).alias("over_limit"))
+
+
+def p1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with credentials whose lines, or whose text before the first and behind the last value, differ after redaction; ids given back twice."""
+    chunks = table(spark, sf_dir, "chunks").where("id is not null and content is not null").groupBy("id").agg(F.min("content").alias("before"))
+    both = chunks.join(p1_redacted(spark, sf_dir), "id")
+    lines = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("\n"), F.lit("")))
+    return both.agg(F.count(F.when(lines("before") != lines("content"), 1)).alias("lines_changed"), F.count(F.when(F.col("before") == F.col("content"), 1)).alias("unchanged"), (F.count(F.lit(1)) - F.countDistinct("id")).alias("twice"))
+
+
+def p9_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of the mix: its target, its cap, its documents, and records used more than the cap or under a source they don't have."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    used = mix(docs, targets).groupBy("doc", "source").agg(F.max("copy").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    own = docs.where("doc_id is not null and text is not null and source is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.min("source").alias("own"))
+    caps = F.broadcast(targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")))
+    each = own.join(used, "doc", "full").withColumn("source", F.coalesce("own", "source")).join(caps, "source", "right")
+    wrong = (F.col("copies") > F.col("max_repeats")) | (F.col("copies") != F.col("rows")) | (F.col("rows").isNotNull() & F.col("own").isNull())
+    return each.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.count("own").alias("documents"), F.count(F.when(wrong, 1)).alias("wrong"))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +146,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_redacted, p2_found, p2_patterns, p3_found, p4_found, p4_report, p5_found, p5_reasons, p6_found, p6_pieces, p7_found, p7_collapsed,
-    p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_shares,
+    p8_containers, p8_fill, p9_mixture, p9_shares, p10_found, p10_shares, p1_whole, p6_whole, p8_whole, p9_whole,
 )}
 
 _EVENTS = """
@@ -145,6 +186,15 @@ _NEIGHBOURS = """
     select distinct least(name, other) as hash_a, greatest(name, other) as hash_b from best"""
 
 ORACLES = {
+    "p1_whole": "select 0::bigint as lines_changed, 0::bigint as unchanged, 0::bigint as twice",
+    "p6_whole": """
+        select id, start_line as first_line, start_line + length(content) - length(replace(content, chr(10), '')) - (content like '%' || chr(10))::int as last_line, 0::bigint as over_limit
+        from (select id, min(coalesce(start_line, 0)) as start_line, min(content) as content from chunks where id is not null and content is not null group by id)
+        where length(content) > (select max(amount) from size_limits where limit_name = 'chunk_max')""",
+    "p8_whole": "select count(distinct doc_id) as documents, 0::bigint as cut_needlessly, 0::bigint as not_whole, 0::bigint as over_capacity from documents where text is not null",
+    "p9_whole": """
+        select t.source, max(t.target_share) as target_share, max(t.max_repeats) as max_repeats, count(d.doc) as documents, 0::bigint as wrong from mix_targets t
+        left join (select doc_id as doc, min(source) as source from documents where text is not null and source is not null group by doc_id) d using (source) group by t.source""",
     "p3_found": _NEIGHBOURS,
     "p7_found": _RUNS + "select session_id, first_id, last_id from runs where n_events >= 2",
     "p7_collapsed": _RUNS + "select session_id, tool, first_id, last_id, n_events, duration_us from runs",
