@@ -137,11 +137,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_subjects(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "subject")
+    subjects, labels = table(spark, sf_dir, "subjects"), table(spark, sf_dir, "doc_labels")
+    return assign_subjects(table(spark, sf_dir, "documents"), subjects=subjects, labels=labels).select(F.col("doc").alias("doc_id"), "subject")
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subject_shares(table(spark, sf_dir, "documents"))
+    return subject_shares(table(spark, sf_dir, "documents"), subjects=table(spark, sf_dir, "subjects"), labels=table(spark, sf_dir, "doc_labels"))
 
 
 QUERIES = {f.__name__: f for f in (

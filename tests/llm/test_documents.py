@@ -12,7 +12,7 @@ import pytest
 from corvane.llm import mixing
 from corvane.llm.mixing import distribution, fitted, mix, plan, share_report
 from corvane.llm.packing import attention, best_fit, fill_report, pack
-from corvane.llm.subjects import assign_subjects, learn, sections, subject_shares, votes
+from corvane.llm.subjects import DEFAULT, Weights, assign_subjects, learn, sections, subject_shares
 from corvane.llm.tokens import token_counts
 
 SCHEMA = "doc_id long, text string, source string, repo string, doc string, tokens string, block int, container string, subject string, u double, h long, total int"
@@ -128,7 +128,8 @@ IDIOM = "Bear with me, the train of thought was lost."
 def test_sentences():
     text = f"# Heading here\n\n{LAW} {CHAT}\n\n```\ncode = parse(x)\n```\n<details><summary>log</summary>0a0e 0f0e\n</details>\nuser: {SKY}\n- {CHAT}\n--\n"
     assert [x for s in sections(text) for x in s] == [LAW, CHAT, SKY, CHAT]
-    assert votes(LAW) and votes(SKY) and not votes(CHAT) and not votes(IDIOM)
+    votes = Weights(DEFAULT, {}).votes
+    assert votes(LAW)[0] and votes(SKY)[0] and not votes(CHAT)[0] and not votes(IDIOM)[0]
 
 
 def test_subjects(spark):
@@ -165,3 +166,52 @@ def test_the_stated_share_is_kept(spark):
     rows += [(100, " ".join([LAW] * 12 + [CHAT] * 38), "issues", "r1"), (101, " ".join([LAW] * 12 + [CHAT] * 36), "issues", "r1")]
     got = {r.doc for r in assign_subjects(docs(spark, rows)).collect()}
     assert got == {*range(30), 101}
+
+
+COOK = "Simmer the broth while the dough is rising."
+NEW = "The blorpine was filed with the kelvator on Friday."
+
+
+def test_terms_that_no_list_holds_are_learned(spark):
+    """Words that stand beside seeds of a subject come to speak for it; words that stand everywhere don't, nor do seeds in them."""
+    rows = [(i, f"{LAW} {NEW} {CHAT} {IDIOM}", "issues", f"r{i % 7}") for i in range(60)]
+    rows += [(100 + i, f"{SKY} {SKY} {CHAT} {IDIOM}", "issues", f"s{i % 7}") for i in range(60)]
+    rows += [(200 + i, f"Passengers at the airport missed the ferry. {CHAT} {IDIOM}", "adrs", f"t{i % 7}") for i in range(60)]
+    rows += [(300, f"{NEW} {NEW}", "mail", None), (301, f"{CHAT} {IDIOM}", "mail", None)]
+    got = defaultdict(set)
+    for r in assign_subjects(docs(spark, rows)).collect():
+        got[r.doc].add(r.subject)
+    assert got[300] == {"law"} and not got.get(301)
+    assert all(got[i] == {"law"} and got[100 + i] == {"astronomy"} and got[200 + i] == {"transport"} for i in range(60))
+
+
+def test_ordinary_words_of_each_subject(spark):
+    texts = {
+        "law": "The magistrate granted an injunction.", "sport": "The quarterback threw a touchdown.", "music": "She plays the sonata on the piano.", "medicine": "Chemotherapy was stopped by the oncologist.", "astronomy": "The spacecraft flew past Neptune.",
+        "finance": "The bank raised the dividend.", "agriculture": "The farmer sold his cattle.", "transport": "The railway moved the cargo.", "energy": "The photovoltaic generator failed.", "tooling": "The compiler rejects this syntax.",
+    }
+    rows = [(i, t, None, None) for i, t in enumerate(texts.values())]
+    got = {r.doc: r.subject for r in assign_subjects(docs(spark, rows)).collect()}
+    assert got == dict(enumerate(texts))
+
+
+def test_subjects_come_from_their_table_and_labels_count(spark):
+    table = spark.createDataFrame([("cooking", "food: broth, dough and recipes"), ("law", "legal matters"), (None, "x")], "subject string, description string")
+    rows = [(i, f"{COOK} {CHAT}", "issues", None) for i in range(80)] + [(100 + i, f"{LAW} {CHAT}", "issues", None) for i in range(20)]
+    rows += [(200 + i, f"{NEW} {CHAT}", "issues", None) for i in range(40)]
+    got = {(r.doc, r.subject) for r in assign_subjects(docs(spark, rows), subjects=table).collect()}
+    assert got == {(i, "cooking") for i in range(80)} | {(100 + i, "law") for i in range(20)}
+    labels = spark.createDataFrame([(200 + i, "law") for i in range(30)] + [(201, "none"), (None, "law")], "doc_id long, subject string")
+    rated = {r.doc for r in assign_subjects(docs(spark, rows), subjects=table, labels=labels).where("subject = 'law'").collect()}
+    assert rated == {100 + i for i in range(20)} | {200 + i for i in range(40)}
+    assert assign_subjects(docs(spark, rows), subjects=table.limit(0)).count() == 0
+
+
+def test_sentences_in_unknown_words_go_with_their_section_and_repository(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("bcdfgklmnprstvz", k=3)) + "".join(rng.choices("aeiou", k=2)) + "".join(rng.choices("bcdfgklmnprstvz", k=3))
+    odd = lambda: " ".join(word() for _ in range(6)).capitalize() + "."
+    rows = [(i, " ".join([LAW] * 4 + [CHAT] * 2), "issues", f"r{i % 3}") for i in range(60)] + [(100 + i, " ".join([SKY] * 4 + [CHAT] * 2), "issues", f"s{i % 3}") for i in range(60)]
+    rows += [(300, " ".join([LAW] * 3 + [odd() for _ in range(3)] + [CHAT] * 7), "issues", "r1"), (301, " ".join([LAW] * 3 + [CHAT] * 10), "issues", "r1"), (302, odd(), "issues", None)]
+    got = {r.doc: r.subject for r in assign_subjects(docs(spark, rows)).collect()}
+    assert got.get(300) == "law" and 301 not in got and 302 not in got
