@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 QUERY_STOP_WORDS = "a an the is are was were be been being have has had do does did will would could should may might must can of in to for with on at by from as into and or but not no if then else when where what which who how why this that these those it its".split()
 
 # Directories that are never walked.
-EXCLUDED_DIRS = "node_modules .git .svn .hg dist build out target .next .nuxt .cache coverage __pycache__ .venv venv vendor .idea .vscode .turbo .output bower_components".split()
+EXCLUDED_DIRS = "node_modules .git .svn .hg dist build out .next .nuxt coverage __pycache__ venv .venv target vendor .idea .vscode .cache .turbo .expo".split()
 
 
 def token_estimate(text: Column) -> Column:
@@ -73,23 +73,41 @@ def is_excluded(path: Column, dirs: list[str] | None = None) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in dirs or EXCLUDED_DIRS]))
 
 
-#: Endings of test files by language; a path is lower-cased before.
-TEST_PATTERNS = {
-    "py": r"(^|/)test_[^/]*\.py$|_test\.py$|(^|/)conftest\.py$", "go": r"_test\.go$", "rs": r"_test\.rs$|(^|/)tests/", "java": r"tests?\.java$",
-    "ts": r"\.(test|spec)\.[cm]?tsx?$", "tsx": r"\.(test|spec)\.tsx$", "js": r"\.(test|spec)\.[cm]?jsx?$", "mjs": r"\.(test|spec)\.mjs$",
+# By language the names of test files, the directories of tests and the names of test symbols.
+TEST_FILES = {
+    "typescript": r"[._](test|spec)\.[tj]sx?$", "javascript": r"[._](test|spec)\.jsx?$", "python": r"(^|/)test_[^/]*\.py$|_test\.py$|(^|[^a-z])test\.py$", "go": r"_test\.go$", "rust": r"_test\.rs$|(^|[^a-z])tests\.rs$",
+    "java": r"(Test|Tests|TestCase|IT)\.java$", "c": r"_tests?\.c$|test_[^/]*\.c$", "cpp": r"_test\.(cpp|cc|cxx)$|test_[^/]*\.cpp$|Test\.cpp$",
 }
-TEST_DIRS = r"(^|/)(tests?|__tests__|spec|specs|testing|e2e)/"
+TEST_DIRS = {
+    "typescript": r"(^|/)(__tests__|test|tests|testing)/", "javascript": r"(^|/)(__tests__|test|tests|testing)/", "python": r"(^|/)(tests?|testing)/", "go": r"(^|/)testdata/", "rust": r"(^|/)tests/",
+    "java": r"(^|/)tests?/", "c": r"(^|/)tests?/", "cpp": r"(^|/)(tests?|gtest)/",
+}
+TEST_SYMBOLS = {
+    "typescript": r"(?i)^test_|^(it|describe|beforeEach|afterEach|beforeAll|afterAll)$", "javascript": r"(?i)^test_|^(it|describe)$", "python": r"^test_|^Test[A-Z]", "go": r"^(Test|Benchmark|Example)[A-Z]", "rust": r"^test_",
+    "java": r"^(test|should)[A-Z]", "c": r"^[tT]est_", "cpp": r"^TEST(_F)?$|(?i)^test_",
+}
+LANGUAGE_OF_TESTS = {"ts": "typescript", "tsx": "typescript", "mts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp"}
+
+
+def _by_language(language: Column, subject: Column, patterns: dict[str, str]) -> Column:
+    hits = [(language == name) & subject.rlike(p) for name, p in patterns.items()]
+    return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
+
+
+def test_language(path: Column) -> Column:
+    pairs = [F.lit(x) for kv in LANGUAGE_OF_TESTS.items() for x in kv]
+    return F.try_element_at(F.create_map(*pairs), F.lower(F.substring_index(path, ".", -1)))
 
 
 def is_test_path(path: Column) -> Column:
-    low = F.lower(path)
-    end = F.substring_index(low, ".", -1)
-    rules = [(end == ext) & low.rlike(pattern) for ext, pattern in TEST_PATTERNS.items()]
-    return reduce(lambda a, b: a | b, rules) | low.rlike(TEST_DIRS)
+    """A test file by the rules of its language, which its ending tells: by its name or a directory. Other files are none."""
+    language = test_language(path)
+    return _by_language(language, path, TEST_FILES) | _by_language(language, path, TEST_DIRS)
 
 
-def is_test_symbol(name: Column) -> Column:
-    return F.lower(name).rlike(r"^(test|it|describe|should)(_|[^a-z]|$)|_test$|^test")
+def is_test_symbol(name: Column, language: Column) -> Column:
+    """A test by the name of the symbol, by the rules of its language."""
+    return _by_language(language, name, TEST_SYMBOLS)
 
 
 def language_of(path: Column) -> Column:
@@ -102,13 +120,13 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.lower(F.substring_index(path, ".", -1)))
 
 
-#: Intent rules in the order in which they are tried: (intent, confidence, patterns).
+# Intent rules in the order in which they are tried: (intent, confidence, patterns).
 INTENT_RULES = [
-    ("symbol_lookup", 0.85, [r"^[A-Z][a-zA-Z0-9]+$", r"^[a-z][a-zA-Z0-9]*$", r"^[a-z]+(_[a-z0-9]+)+$", r"(?i)\b(definition of|where is .* defined|go to)\b"]),
-    ("structural", 0.80, [r"(?i)\b(what|who) calls\b", r"(?i)\bcallers? of\b", r"(?i)\bcallees?\b", r"(?i)\b(implements|extends|inherits)\b", r"(?i)\bdepend(s|encies)\b", r"(?i)\busages? of\b"]),
-    ("location", 0.75, [r"(?i)\b(in|under) (the )?[\w./-]+ (folder|directory|file)\b", r"(?i)\btests? for\b", r"(?i)\bfiles? (in|named|matching)\b", r"[\w-]+/[\w-]+"]),
-    ("similarity", 0.70, [r"(?i)\bsimilar to\b", r"(?i)\blike this\b", r"(?i)\bexamples? of\b"]),
-]
+    ("symbol_lookup", 0.85, [r"^[A-Z][a-zA-Z0-9]*$", r"^[a-z][a-zA-Z0-9]*$", r"(?i)\b(function|class|type|interface|enum)\s+\w+", r"\bdef\s+\w+", r"\bfunc\s+\w+"]),
+    ("structural", 0.80, [r"(?i)\b(calls?|invokes?|uses|imports?|extends?|implements?|inherits?|depends?)\b", r"(?i)\b(callers?|callees?|dependencies|dependents)\b", r"(?i)\b(methods|properties|fields)\s+(in|of|on)\b", r"(?i)(what|who)\s+(calls|uses|imports)\b"]),
+    ("location", 0.75, [r"(?i)\b(in|under|inside)\s+(the\s+)?(\w+/|\w+\s+folder|\w+\s+directory)", r"(?i)\b(tests?|specs?)\s+for\b", r"(?i)\b(files?|modules?)\s+(in|under)\b", r"\.(ts|js|py|go|rs|java)$"]),
+    ("similarity", 0.70, [r"(?i)\b(similar|like|same\s+as|pattern)\b", r"(?i)\bexample\s+of\b", r"(?i)\bcode\s+(like|similar)\b"]),
+]
 
 
 def intent(query: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import written
+from corvane.session import bucketed, drop, written
 
 
 def distinct_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -29,24 +29,29 @@ def degrees(vertices: DataFrame, references: DataFrame) -> DataFrame:
     return vertices.select("id").join(sums, "id", "left").select("id", zero("in_degree"), zero("out_degree"))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 1) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
     """(id, rank), summing to 1: (1 - d) / n + d * sum(rank / out degree), ``rounds`` times; what vertices without edges hold is lost, then all is scaled.
 
-    ``edges`` are distinct. The edge table is joined with its out degrees once; each round is one join on src and one sum on dst,
-    and every ``cut_every`` rounds the ranks, a row per vertex, are written.
+    ``edges`` are distinct. They are written once, with the share of each, in buckets by src, and the vertices in as many by id; so
+    a round shuffles only the sums by dst, at most a row for each vertex and task, whatever the number of edges. Every
+    ``cut_every`` rounds the ranks, a row per vertex, are written and those before them deleted.
     """
-    ids = written(vertices.select("id").distinct())
+    ids = bucketed(vertices.select("id").distinct(), "id")
     n = ids.count()
     if n == 0:
         return ids.withColumn("rank", F.lit(0.0))
+    edges = written(edges)
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = written(edges.join(out, "src").select("src", "dst", (1.0 / F.col("out")).alias("share")))
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
+    links = bucketed(edges.join(out, "src").select("src", "dst", (1.0 / F.col("out")).alias("share")), "src")
+    ranks, last = ids.withColumn("rank", F.lit(1.0 / n)), None
     for i in range(1, rounds + 1):
         sent = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         ranks = ids.join(sent, ids["id"] == sent["dst"], "left").select("id", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if i % cut_every == 0:
-            ranks = written(ranks)
+            old, ranks = last, bucketed(ranks, "id")
+            last = ranks
+            if old is not None:
+                drop(old)
     total = ranks.agg(F.sum("rank").alias("total"))
     return ranks.join(F.broadcast(total)).select("id", (F.col("rank") / F.col("total")).alias("rank"))
 

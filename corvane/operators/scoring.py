@@ -149,13 +149,22 @@ def normalised_overall(parts: dict[str, float]) -> Column:
     return F.when(known > 0, weighted(parts) / known)
 
 
-def outcome_of(tools: Column, errors: Column, corrections: Column, finished: Column) -> Column:
-    """How a session went: abandoned, failure, partial or success."""
-    return F.when(~finished | (tools == 0), "abandoned").when(errors * 2 > tools, "failure").when((corrections > 0) | (errors > 0), "partial").otherwise("success")
+def outcome_of(tools: Column, interventions: Column) -> Column:
+    """How a session went: abandoned without tools, failure with more than an intervention for two tools, partial with any, else success."""
+    return F.when(tools == 0, "abandoned").when(interventions * 2 > tools, "failure").when(interventions > 0, "partial").otherwise("success")
 
 
-def safety_band(score: Column) -> Column:
-    return F.when(score >= 0.9, "deploy").when(score >= 0.7, "review").when(score >= 0.5, "hold").otherwise("reject")
+# Weights of the parts of a safety score, and the scores for a deployment and for a review.
+SAFETY_WEIGHTS = {"red_team": 0.3, "blue_team": 0.35, "pattern": 0.2, "history": 0.15}
+DEPLOY, REVIEW = 0.9, 0.7
+
+
+def safety_decision(parts: dict[str, Column], worst: Column) -> Column:
+    """struct(score, decision): weighted sum, absent parts as 0; with a part absent or a factor worse than -0.3 nothing is deployed unseen."""
+    score = sum((w * F.coalesce(parts[n], F.lit(0.0)) for n, w in SAFETY_WEIGHTS.items()), F.lit(0.0))
+    whole = reduce(lambda a, b: a & b, [parts[n].isNotNull() for n in SAFETY_WEIGHTS])
+    alone = whole & ~F.coalesce(worst < -0.3, F.lit(False))
+    return F.struct(score.alias("score"), F.when(alone & (score >= DEPLOY), "auto_deploy").when(score >= REVIEW, "human_review").otherwise("reject").alias("decision"))
 
 
 def rollback_reason(z: Column, corrections_before: Column, corrections_now: Column, errors_before: Column, errors_now: Column) -> Column:

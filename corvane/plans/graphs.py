@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import graph as G
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import table, written
 
 _REFS = "refs as (select 'c' || o.o_custkey as src, 's' || l.l_suppkey as dst, l.l_orderkey as line from lineitem l join orders o on o.o_orderkey = l.l_orderkey)"
 _V = "v as (select 'c' || c_custkey as id, c_acctbal > 0 as exported, c_mktsegment as file from customer union all select 's' || s_suppkey, s_acctbal > 0, 'suppliers' from supplier)"
@@ -51,7 +51,7 @@ def _rank_sql(rounds: int = 20) -> str:
 
 
 def both_ways(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
+    e = written(edges(spark, d))
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 

@@ -206,15 +206,6 @@ def error_clusters(spark: SparkSession, d: str) -> DataFrame:
     return M.error_clusters(rows)
 
 
-@query("select session_id, count(*) as tools, array_to_string(list(lower(tool_name) order by execution_order, id), '>') as path from (select distinct id, session_id, execution_order, tool_name from tool_events where session_id is not null and tool_name is not null and execution_order is not null) where session_id in (select session_id from agent_sessions where tool_count between 1 and 12) group by 1")
-def tool_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Tools in order, of sessions with a dozen events or fewer."""
-    small = table(spark, d, "agent_sessions").where("tool_count between 1 and 12").select("session_id").distinct()
-    ev = table(spark, d, "tool_events").where("session_id is not null and tool_name is not null and execution_order is not null").select("id", "session_id", "execution_order", "tool_name").distinct().join(small, "session_id", "left_semi")
-    listed = F.array_sort(F.collect_list(F.struct("execution_order", "id", F.lower("tool_name").alias("t"))))
-    return ev.groupBy("session_id").agg(F.count(F.lit(1)).alias("tools"), listed.alias("l")).select("session_id", "tools", F.array_join(F.transform("l", lambda x: x["t"]), ">").alias("path"))
-
-
 @query("select session_id, row_number() over (partition by session_id order by execution_order nulls first, id) as position, lower(tool_name) as tool from (select distinct id, session_id, execution_order, tool_name from tool_events where session_id is not null and tool_name is not null)")
 def session_paths(spark: SparkSession, d: str) -> DataFrame:
     """Tools in order, of all sessions: one row per position, so that no session is put together in one task."""

@@ -80,15 +80,24 @@ def overall_scores(spark: SparkSession, d: str) -> DataFrame:
     return m.select("model", F.round("o", 6).alias("overall"), F.row_number().over(Window.orderBy(F.desc("o"), "model")).alias("place"))
 
 
-@query("""with s as (select distinct on (id) * from tool_events where session_id is not null order by id, ingested_at), m as (select session_id, count(*) as tools, count(*) filter (success = false) as errors, max(epoch_us("timestamp")) as last from s group by 1),
-    a as (select session_id, max(intervention_count) as c from agent_sessions group by 1)
-    select case when a.session_id is null or tools = 0 then 'abandoned' when errors * 2 > tools then 'failure' when coalesce(c, 0) > 0 or errors > 0 then 'partial' else 'success' end as inferred, count(*) as n from m left join a using (session_id) group by 1""")
-def inferred_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "tool_events").where("session_id is not null").groupBy("id").agg(F.min(F.struct("ingested_at", "session_id", "success")).alias("r")).select("r.*")
-    m = ev.groupBy("session_id").agg(F.count(F.lit(1)).alias("tools"), F.count_if(~F.col("success")).alias("errors"))
-    a = table(spark, d, "agent_sessions").groupBy("session_id").agg(F.max("intervention_count").alias("c"), F.lit(True).alias("known"))
-    outcome = S.outcome_of(F.col("tools"), F.col("errors"), F.coalesce("c", F.lit(0)), F.coalesce("known", F.lit(False)))
-    return m.join(a, "session_id", "left").groupBy(outcome.alias("inferred")).agg(F.count(F.lit(1)).alias("n"))
+@query("""select case when tools = 0 then 'abandoned' when c > 0.5 * tools then 'failure' when c > 0 then 'partial' else 'success' end as outcome, count(*) as n
+    from (select session_id, max(coalesce(tool_count, 0)) as tools, max(coalesce(intervention_count, 0)) as c from agent_sessions where session_id is not null group by 1) group by 1""")
+def session_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "agent_sessions").where("session_id is not null")
+    a = a.groupBy("session_id").agg(F.max(F.coalesce("tool_count", F.lit(0))).alias("tools"), F.max(F.coalesce("intervention_count", F.lit(0))).alias("c"))
+    return a.groupBy(S.outcome_of(F.col("tools"), F.col("c")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with m as (select l_suppkey as id, avg(l_quantity) / 50 as red, 1 - avg(l_discount) as blue, case when l_suppkey % 5 > 0 then 1 - avg(l_tax) / 2 end as pattern, max(l_quantity) / 50 as history, -min(l_tax) - (l_suppkey % 3) * 0.2 as worst from lineitem group by l_suppkey),
+    s as (select *, 0.3 * red + 0.35 * blue + 0.2 * coalesce(pattern, 0) + 0.15 * history as score from m)
+    select id, round(score, 6) as score, case when pattern is not null and not worst < -0.3 and score >= 0.9 then 'auto_deploy' when score >= 0.7 then 'human_review' else 'reject' end as decision from s""")
+def safety_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers stand for proposals."""
+    m = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(
+        (F.avg("l_quantity") / 50).alias("red"), (1 - F.avg("l_discount")).alias("blue"), (1 - F.avg("l_tax") / 2).alias("pattern"), (F.max("l_quantity") / 50).alias("history"), (-F.min("l_tax")).alias("w"),
+    )
+    parts = {"red_team": F.col("red"), "blue_team": F.col("blue"), "pattern": F.when(F.col("id") % 5 > 0, F.col("pattern")), "history": F.col("history")}
+    return m.select("id", S.safety_decision(parts, F.col("w") - (F.col("id") % 3) * 0.2).alias("d")).select("id", F.round("d.score", 6).alias("score"), "d.decision")
 
 
 @query("""with t as (select lower(tool_name) as tool, avg((success)::int) filter (id % 2 = 0) as a, avg((success)::int) filter (id % 2 = 1) as b, count(*) as n from tool_events where tool_name is not null group by 1 having count(*) filter (id % 2 = 0) > 0 and count(*) filter (id % 2 = 1) > 0)
@@ -131,16 +140,6 @@ def query_summary(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("source", F.coalesce("split_name", F.lit("none")).alias("split_name")).agg(F.count(F.lit(1)).alias("n"), F.count("category").alias("labelled"), F.round(F.count("category") / F.count(F.lit(1)), 6).alias("share"))
 
 
-@query("""select id, round((case when greatest(x, 2) = 0 then 1 else least(x, 2) / greatest(x, 2) end + inter / (x + 2 - inter)) / 2, 6) as likeness from (select id, len(p) as x, len(list_intersect(list_distinct(p), ['payload', 'limit']))::double as inter, p from
-    (select distinct id, list_filter([trim(regexp_extract(y, '(\\w+)', 1)) for y in string_split(regexp_extract(signature, '\\(([^)]*)\\)', 1), ',')], lambda z: z <> '') as p from chunks where signature is not null)) where len(list_distinct(p)) = len(p)""")
-def signature_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures held against one of two parameters; those that name a parameter twice are left out."""
-    c = table(spark, d, "chunks").where("signature is not null").select("id", "signature").distinct()
-    names = F.filter(F.transform(F.split(F.regexp_extract("signature", r"\(([^)]*)\)", 1), ","), lambda x: F.trim(F.regexp_extract(x, r"(\w+)", 1))), lambda x: x != "")
-    rows = c.withColumn("p", names).where(F.size(F.array_distinct("p")) == F.size("p"))
-    return rows.select("id", F.round(S.signature_likeness(F.col("signature"), F.lit("f(payload, limit)")), 6).alias("likeness")).distinct()
-
-
 @query("""select distinct id, round((case when greatest(x, 2) = 0 then 1 else least(x, 2) / greatest(x, 2) end + inter / (len(list_distinct(p)) + 2 - inter)) / 2, 6) as likeness from (select id, len(p) as x, len(list_intersect(list_distinct(p), ['payload', 'limit']))::double as inter, p from
     (select distinct id, list_filter([trim(regexp_extract(y, '(\\w+)', 1)) for y in string_split(regexp_extract(signature, '\\(([^)]*)\\)', 1), ',')], lambda z: z <> '') as p from chunks where signature is not null))""")
 def signature_likenesses(spark: SparkSession, d: str) -> DataFrame:

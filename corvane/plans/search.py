@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.text import content_id, entities, intent, is_test_path, language_of, normalised_query, query_hash, token_estimate
+from corvane.functions.text import INTENT_RULES, LANGUAGE_OF_TESTS, TEST_DIRS, TEST_FILES, content_id, entities, intent, is_test_path, language_of, normalised_query, query_hash, test_language, token_estimate
 from corvane.operators import retrieval as R
-from corvane.operators.graph import top_per_group
+from corvane.operators.events import positions
 from corvane.plans.registry import query
-from corvane.session import table
+from corvane.session import table, written
 
 TERMS = ["grid", "report", "index", "schedule"]
 # Stand-ins: which document type a source plays.
@@ -161,16 +161,11 @@ def substring_search(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("id", score.alias("score")).where("score is not null").groupBy("id").agg(F.max("score").alias("score"))
 
 
-_INTENT_SQL = """case when regexp_matches(trim(query), '^[A-Z][a-zA-Z0-9]+$') or regexp_matches(trim(query), '^[a-z][a-zA-Z0-9]*$') or regexp_matches(trim(query), '^[a-z]+(_[a-z0-9]+)+$')
-    or regexp_matches(trim(query), '(?i)\\b(definition of|where is .* defined|go to)\\b') then 'symbol_lookup'
-    when regexp_matches(trim(query), '(?i)\\b(what|who) calls\\b') or regexp_matches(trim(query), '(?i)\\bcallers? of\\b') or regexp_matches(trim(query), '(?i)\\bcallees?\\b') or regexp_matches(trim(query), '(?i)\\b(implements|extends|inherits)\\b')
-    or regexp_matches(trim(query), '(?i)\\bdepend(s|encies)\\b') or regexp_matches(trim(query), '(?i)\\busages? of\\b') then 'structural'
-    when regexp_matches(trim(query), '(?i)\\b(in|under) (the )?[\\w./-]+ (folder|directory|file)\\b') or regexp_matches(trim(query), '(?i)\\btests? for\\b') or regexp_matches(trim(query), '(?i)\\bfiles? (in|named|matching)\\b') or regexp_matches(trim(query), '[\\w-]+/[\\w-]+') then 'location'
-    when regexp_matches(trim(query), '(?i)\\bsimilar to\\b') or regexp_matches(trim(query), '(?i)\\blike this\\b') or regexp_matches(trim(query), '(?i)\\bexamples? of\\b') then 'similarity' else 'semantic' end"""
+_INTENT_SQL = "case " + " ".join(f"when {' or '.join(f"regexp_matches(trim(query), '{p}')" for p in ps)} then '{name}'" for name, _, ps in INTENT_RULES) + " else 'semantic' end"
 
 
 @query(f"select category, {_INTENT_SQL} as intent, count(*) as n from queries where query is not null group by 1, 2")
-def intent_route(spark: SparkSession, d: str) -> DataFrame:
+def query_intents(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "queries").where("query is not null").select("category", intent(F.col("query")).alias("i"))
     return rows.groupBy("category", F.col("i.intent").alias("intent")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -215,15 +210,16 @@ def query_map(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("name", "file_path", score.cast("long").alias("score")).where("score > 0")
 
 
-@query(r"""select count(*) filter (where t) as tests, count(*) filter (where not t) as others from (select distinct file_path,
-    (regexp_matches(lower(file_path), '\.py$') and regexp_matches(lower(file_path), '(^|/)test_[^/]*\.py$|_test\.py$|(^|/)conftest\.py$')) or (regexp_matches(lower(file_path), '\.go$') and regexp_matches(lower(file_path), '_test\.go$'))
-    or (regexp_matches(lower(file_path), '\.rs$') and regexp_matches(lower(file_path), '_test\.rs$|(^|/)tests/')) or (regexp_matches(lower(file_path), '\.java$') and regexp_matches(lower(file_path), 'tests?\.java$'))
-    or (regexp_matches(lower(file_path), '\.ts$') and regexp_matches(lower(file_path), '\.(test|spec)\.[cm]?tsx?$')) or (regexp_matches(lower(file_path), '\.tsx$') and regexp_matches(lower(file_path), '\.(test|spec)\.tsx$'))
-    or (regexp_matches(lower(file_path), '\.js$') and regexp_matches(lower(file_path), '\.(test|spec)\.[cm]?jsx?$')) or (regexp_matches(lower(file_path), '\.mjs$') and regexp_matches(lower(file_path), '\.(test|spec)\.mjs$'))
-    or regexp_matches(lower(file_path), '(^|/)(tests?|__tests__|spec|specs|testing|e2e)/') as t from chunks where file_path is not null)""")
-def test_files(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunks").where("file_path is not null").select("file_path").distinct().select(is_test_path(F.col("file_path")).alias("t"))
-    return rows.agg(F.count_if("t").alias("tests"), F.count_if(~F.col("t")).alias("others"))
+_TEST_LANGUAGE_SQL = "case lower(regexp_extract(file_path, '[^.]*$')) " + " ".join(f"when '{e}' then '{n}'" for e, n in LANGUAGE_OF_TESTS.items()) + " end"
+_TEST_SQL = " or ".join(f"(l = '{n}' and regexp_matches(file_path, '{p}'))" for rules in (TEST_FILES, TEST_DIRS) for n, p in rules.items())
+
+
+@query(f"""select l as language, count(*) filter (where coalesce({_TEST_SQL}, false)) as tests, count(*) filter (where not coalesce({_TEST_SQL}, false)) as others
+    from (select distinct file_path, {_TEST_LANGUAGE_SQL} as l from chunks where file_path is not null) group by 1""")
+def test_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "chunks").where("file_path is not null").select("file_path").distinct()
+    marked = rows.select(test_language(F.col("file_path")).alias("language"), is_test_path(F.col("file_path")).alias("t"))
+    return marked.groupBy("language").agg(F.count_if("t").alias("tests"), F.count_if(~F.col("t")).alias("others"))
 
 
 @query("""select language_by_path, count(*) as files from (select distinct file_path, case lower(regexp_extract(file_path, '[^.]*$')) when 'py' then 'python' when 'ts' then 'typescript' when 'tsx' then 'typescript' when 'js' then 'javascript'
@@ -240,12 +236,18 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", content_id(F.col("file_path"), F.col("start_line"), F.col("content"), size=16).alias("digest"))
 
 
-@query("""with c as (select distinct id, language, chunk_type, name from chunks where language is not null and name is not null and chunk_type is not null),
-    t as (select id, language, chunk_type, name from c qualify row_number() over (partition by language, chunk_type order by id) = 1)
-    select t.id as target, c.id as distractor from t join c on c.language = t.language and c.chunk_type = t.chunk_type and c.id <> t.id qualify row_number() over (partition by t.id order by sha256(c.id || '7'), c.id) <= 5""")
-def distractors(spark: SparkSession, d: str) -> DataFrame:
-    """Five others of the same language and type for one target of each, by a seeded hash: the pairs never leave their target's few rows."""
-    c = table(spark, d, "chunks").where("language is not null and name is not null and chunk_type is not null").select("id", "language", "chunk_type", "name").distinct()
-    target = c.groupBy("language", "chunk_type").agg(F.min("id").alias("target"))
-    pairs = c.join(F.broadcast(target), ["language", "chunk_type"]).where("id <> target").withColumn("h", F.sha2(F.concat("id", F.lit("7")), 256))
-    return top_per_group(pairs, "target", [F.col("h"), F.col("id")], 5).select("target", F.col("id").alias("distractor"))
+@query("""with c as (select id, min(language) as language, min(chunk_type) as chunk_type from chunks where language is not null and chunk_type is not null and id is not null group by id),
+    o as (select *, row_number() over (partition by language, chunk_type order by sha256(id || '7'), id) - 1 as i, count(*) over (partition by language, chunk_type) as n from c)
+    select t.id as target, x.id as distractor, k.turn from o t, (select unnest(range(1, 10)) as turn) k join o x on x.language = t.language and x.chunk_type = t.chunk_type and x.i = (t.i + k.turn) % t.n where k.turn < t.n""")
+def distractors_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Nine others of the same language and type for every chunk, or as many as there are: those behind it on the ring of a seeded hash.
+
+    Positions on the ring are running counts over blocks, so that a hot language and type is no single task; each target
+    meets just its nine places.
+    """
+    c = table(spark, d, "chunks").where("language is not null and chunk_type is not null and id is not null").groupBy("id").agg(F.min("language").alias("language"), F.min("chunk_type").alias("chunk_type"))
+    keyed = c.select("id", F.concat_ws("\n", "language", "chunk_type").alias("g"), F.sha2(F.concat("id", F.lit("7")), 256).alias("h"))
+    ring = written(positions(keyed, "g", ["h", "id"]).select("id", "g", (F.col("_cv_i") - 1).alias("i"), F.col("_cv_n").alias("n")))
+    asked = ring.select(F.col("id").alias("target"), "g", "i", "n", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("turn")).where("turn < n")
+    places = asked.select("target", "g", F.expr("(i + turn) % n").alias("i"), "turn")
+    return places.join(ring.select("g", "i", F.col("id").alias("distractor")), ["g", "i"]).select("target", "distractor", F.col("turn").cast("long").alias("turn"))

@@ -221,12 +221,6 @@ def document_classes(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select doc_id, replace(replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as body from documents where contains(text, '<')")
-def xml_bodies(spark: SparkSession, d: str) -> DataFrame:
-    """Heads of texts with markup, escaped: a snippet of 200 signs is the feature."""
-    return table(spark, d, "documents").where(F.col("text").contains("<")).select("doc_id", xml_escape(F.substring("text", 1, 200)).alias("body"))
-
-
 @query("select doc_id, length(x) as signs, sha256(x) as digest from (select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as x from documents where contains(text, '<'))")
 def xml_texts(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts with markup, escaped, by length and digest."""

@@ -264,3 +264,46 @@ def test_samples(spark):
     rows = S.stratified(df, "k", "s", 20, 1).collect()
     assert sum(r.s == "big" for r in rows) == 18 and sum(r.s == "small" for r in rows) == 2
     assert {r.k for r in S.sample(df, "k", 10, 4).collect()} == {r.k for r in S.sample(df.repartition(3), "k", 10, 4).collect()}
+
+
+# Expected values are those of the published rules for each kind of question, test name and outcome.
+@pytest.mark.parametrize(
+    ("q", "want"),
+    [
+        ("UserService", "symbol_lookup"), ("handleAuth", "symbol_lookup"), ("class Ledger", "symbol_lookup"), ("def parse_row", "symbol_lookup"), ("func Walk", "symbol_lookup"), ("who calls processPayment", "structural"), ("methods in UserService", "structural"),
+        ("callers of flush", "structural"), ("tests for the payment module", "location"), ("handlers in the api folder", "location"), ("main.go", "location"), ("code like this retry", "similarity"), ("same as the retry logic", "similarity"), ("how does authentication work", "semantic"), ("", "semantic"),
+    ],
+)
+def test_intents(spark, q, want):
+    assert one(spark, X.intent(F.col("q")), q=q).intent == want
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [("a/b_test.ts", True), ("a/b.spec.tsx", True), ("a/__tests__/b.ts", True), ("a/PayTestCase.java", True), ("a/PayIT.java", True), ("a/test_x.c", True), ("gtest/x.cpp", True), ("testdata/x.go", True), ("spec/x.py", False), ("a/b.md", False), ("tests/b.md", False), ("a/b.py", False)],
+)
+def test_test_paths(spark, path, want):
+    assert one(spark, X.is_test_path(F.col("p")), p=path) is want
+
+
+def test_test_symbols_and_outcomes(spark):
+    symbol = lambda n, lang: one(spark, X.is_test_symbol(F.col("n"), F.col("l")), n=n, l=lang)
+    assert symbol("TestWalk", "go") and symbol("describe", "typescript") and symbol("shouldFail", "java") and not symbol("TestWalk", "java") and not symbol("describe", "python") and not symbol("x", "cobol")
+    out = lambda t, i: one(spark, S.outcome_of(F.col("t"), F.col("i")), t=t, i=i)
+    assert [out(0, 0), out(4, 3), out(4, 2), out(4, 0)] == ["abandoned", "failure", "partial", "success"]
+    safe = lambda p, w: one(spark, S.safety_decision({"red_team": F.lit(0.95), "blue_team": F.lit(0.95), "pattern": F.col("p"), "history": F.lit(0.95)}, F.col("w")), p=p, w=w).decision
+    assert [safe(0.95, 0.0), safe(0.95, -0.4), safe(0.1, 0.0), safe(-1.0, 0.0)] == ["auto_deploy", "human_review", "human_review", "reject"]
+
+
+def test_pagerank_shuffles_no_edges(spark):
+    """The links are read in their buckets: within a round only sums by target are exchanged."""
+    from corvane.session import bucketed
+
+    links = bucketed(spark.range(1000).selectExpr("id % 50 as src", "id % 77 as dst"), "src", 4)
+    ranks = bucketed(spark.range(100).selectExpr("id", "1.0 as rank"), "id", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = links.join(ranks, links["src"] == ranks["id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
