@@ -35,8 +35,20 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").join(docs, "vec_id", "left_semi")
 
 
+_INDEXES: dict[tuple, R.KeywordIndex] = {}
+
+
+def keyword_index(spark: SparkSession, d: str) -> R.KeywordIndex:
+    """The index of the documents, built once in a session for the same files."""
+    docs = table(spark, d, "documents")
+    at = (spark.sparkContext.applicationId, tuple(sorted(docs.inputFiles())))
+    if at not in _INDEXES:
+        _INDEXES[at] = R.KeywordIndex(docs, "doc_id", "text")
+    return _INDEXES[at]
+
+
 def _legs(spark: SparkSession, d: str, k: int = 30) -> tuple[DataFrame, DataFrame]:
-    return R.vector_topk(_vectors(spark, d), _query_vector(spark, d), k, "vec_id", "embedding"), R.bm25(table(spark, d, "documents"), TERMS, k, "doc_id", "text")
+    return R.vector_topk(_vectors(spark, d), _query_vector(spark, d), k, "vec_id", "embedding"), keyword_index(spark, d).search(TERMS, k)
 
 
 _VECTOR = """vec as (select e.vec_id as id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score

@@ -307,3 +307,14 @@ def test_pagerank_shuffles_no_edges(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_keyword_index_gives_what_the_scan_gives(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["grid", "Report", "index", "x1", "other", "words"], k=rng.randrange(0, 12))) if i % 9 else None, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string, term int")
+    index = R.KeywordIndex(df, "id", "text")
+    for terms in (["grid", "report"], ["GRID", "grid", "x1"], ["absent"], ["absent", "index"]):
+        got = [(r.id, round(r.score, 9), r.rank) for r in index.search(terms, 25).orderBy("rank").collect()]
+        assert got == [(r.id, round(r.score, 9), r.rank) for r in R.bm25(df, terms, 25, "id", "text").orderBy("rank").collect()]
+    assert index.search([], 5).count() == 0 and R.KeywordIndex(df.limit(0), "id", "text").search(["grid"], 5).count() == 0
