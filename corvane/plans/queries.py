@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from corvane.plans import evaluation, graphs, logs, scores, search, segments, tables  # noqa: F401
+from corvane.plans import evaluation, graphs, logs, scores, search, segments, symbols, tables  # noqa: F401
 from corvane.plans.registry import QUERIES  # noqa: F401

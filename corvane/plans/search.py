@@ -204,24 +204,6 @@ def repeated_queries(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("""select file_path, count(*) as symbols, sum(ceil(len(content) / 4.0))::bigint as tokens from (select distinct id, file_path, name, content from chunks where name is not null and file_path is not null)
-    group by 1 qualify row_number() over (order by count(*) desc, file_path) <= 25""")
-def repo_map_files(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "chunks").where("name is not null and file_path is not null").select("id", "file_path", "name", "content").distinct()
-    per = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("symbols"), F.sum(token_estimate(F.col("content"))).alias("tokens"))
-    return per.orderBy(F.desc("symbols"), "file_path").limit(25)
-
-
-@query("""with s as (select distinct name, file_path from chunks where name is not null and file_path is not null), t as (select unnest(['ledger', 'token', 'router']) as term)
-    select name, file_path, sum(case when contains(lower(name), term) then 10 else 0 end + case when contains(lower(file_path), term) then 3 else 0 end)::bigint as score from s, t group by 1, 2 having sum(case when contains(lower(name), term) then 10 else 0 end + case when contains(lower(file_path), term) then 3 else 0 end) > 0""")
-def query_map(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols scored by the terms in their names and paths."""
-    rows = table(spark, d, "chunks").where("name is not null and file_path is not null").select("name", "file_path").distinct()
-    points = lambda t: F.when(F.lower("name").contains(t), 10).otherwise(0) + F.when(F.lower("file_path").contains(t), 3).otherwise(0)
-    score = sum((points(t) for t in ("ledger", "token", "router")), F.lit(0))
-    return rows.select("name", "file_path", score.cast("long").alias("score")).where("score > 0")
-
-
 _TEST_LANGUAGE_SQL = "case lower(regexp_extract(file_path, '[^.]*$')) " + " ".join(f"when '{e}' then '{n}'" for e, n in LANGUAGE_OF_TESTS.items()) + " end"
 _TEST_SQL = " or ".join(f"(l = '{n}' and regexp_matches(file_path, '{p}'))" for rules in (TEST_FILES, TEST_DIRS) for n, p in rules.items())
 

@@ -318,3 +318,22 @@ def test_keyword_index_gives_what_the_scan_gives(spark):
         got = [(r.id, round(r.score, 9), r.rank) for r in index.search(terms, 25).orderBy("rank").collect()]
         assert got == [(r.id, round(r.score, 9), r.rank) for r in R.bm25(df, terms, 25, "id", "text").orderBy("rank").collect()]
     assert index.search([], 5).count() == 0 and R.KeywordIndex(df.limit(0), "id", "text").search(["grid"], 5).count() == 0
+
+
+def test_symbol_maps(spark):
+    from corvane.operators import symbols as Y
+
+    rows = [("a1", "a.py", "load", None, 0.5, 30), ("a2", "a.py", "save", "def save(token)", 0.1, 30), ("b1", "b.py", "token_of", None, 0.3, 60), ("c1", "c.py", "x", None, 0.2, 20)]
+    s = spark.createDataFrame(rows, "id string, file string, name string, signature string, rank double, tokens long")
+    got = [tuple(r)[0:1] + (r.symbols, r.shown) for r in Y.file_map(s, budget=82).orderBy("place").collect()]
+    assert got == [("a.py", 2, "whole"), ("b.py", 1, "header"), ("c.py", 1, "none")]
+    assert [r.id for r in Y.question_map(s, "the token").collect()] == ["b1", "a2"] and Y.file_map(s.limit(0)).count() == 0
+    edges = spark.createDataFrame([("a", "m"), ("b", "m"), ("b", "m"), ("m", "m"), ("m", "z")], "src string, dst string")
+    ranks = spark.createDataFrame([("a", 0.1), ("b", 0.9), ("m", 0.5), ("z", 0.5)], "id string, rank double")
+    assert {(r.id, r.side, r.other, r.place) for r in Y.context(edges, ranks, 1, 10).collect()} == {("m", "caller", "b", 1), ("m", "callee", "z", 1), ("a", "callee", "m", 1), ("b", "callee", "m", 1), ("z", "caller", "m", 1)}
+    df = spark.createDataFrame([("python", "a/src/b%.py", "function", 3), ("go", None, None, None)], "language string, file_path string, chunk_type string, depth int")
+    assert df.where(Y.search_filter()).count() == 2 and df.where(Y.search_filter("python", "b%", ["function"], 2, 3)).count() == 1 and df.where(Y.search_filter(path="b_")).count() == 0
+    seq = spark.createDataFrame([(e, i, x) for e, xs in enumerate(["abc", "abd", "b"]) for i, x in enumerate(xs, 1)], "entity int, position int, item string")
+    assert {(r.pattern, r.support) for r in Y.prefix_patterns(seq, 2).collect()} == {("a", 2), ("a>b", 2)}
+    scores = spark.createDataFrame([("q", "m", 1, 0.9), ("q", "n", 2, 0.5), ("q", "m", 3, 0.1), ("r", "n", 4, 0.2)], "query string, model string, item int, score double")
+    assert {(r.model, r.mean_rank, r.wins) for r in Y.pooled_ranks(scores).collect()} == {("m", 1.0, 1), ("n", 1.5, 1)}
