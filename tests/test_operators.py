@@ -325,7 +325,7 @@ def test_symbol_maps(spark):
 
     rows = [("a1", "a.py", "load", None, 0.5, 30), ("a2", "a.py", "save", "def save(token)", 0.1, 30), ("b1", "b.py", "token_of", None, 0.3, 60), ("c1", "c.py", "x", None, 0.2, 20)]
     s = spark.createDataFrame(rows, "id string, file string, name string, signature string, rank double, tokens long")
-    got = [tuple(r)[0:1] + (r.symbols, r.shown) for r in Y.file_map(s, budget=82).orderBy("place").collect()]
+    got = [tuple(r)[0:1] + (r.symbols, r.shown) for r in Y.file_map(s, budget=70).orderBy("place").collect()]
     assert got == [("a.py", 2, "whole"), ("b.py", 1, "header"), ("c.py", 1, "none")]
     assert [r.id for r in Y.question_map(s, "the token").collect()] == ["b1", "a2"] and Y.file_map(s.limit(0)).count() == 0
     edges = spark.createDataFrame([("a", "m"), ("b", "m"), ("b", "m"), ("m", "m"), ("m", "z")], "src string, dst string")
