@@ -102,6 +102,7 @@ class Seeds:
                 at = into.setdefault(w.rstrip("*").replace("-", " "), {})
                 at[n] = max(weight, at.get(n, 0))
         self.cache: dict[str, dict[int, int]] = {}
+        self.voted: dict[tuple[str, ...], dict[int, set[int]]] = {}
 
     def of(self, term: str) -> dict[int, int]:
         if (hit := self.cache.get(term)) is None:
@@ -127,9 +128,11 @@ def words_of(sentence: str) -> tuple[str, ...]:
     return tuple(w.removesuffix("'s") for w in re.findall(r"[^\W\d_]+(?:'[a-z]+)?", s))
 
 
-def terms_of(words: tuple[str, ...]) -> list[tuple[str, int, int]]:
-    """(term, first, last word): words and pairs of words in a row."""
-    return [(w, i, i) for i, w in enumerate(words)] + [(f"{a} {b}", i, i + 1) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+@lru_cache(maxsize=100_000)
+def terms_of(words: tuple[str, ...]) -> tuple[tuple[str, int, int], ...]:
+    """(term, first, last word): words and pairs of words in a row; of equal ones the last."""
+    pairs = [(f"{a} {b}", i, i + 1) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    return tuple({t[0]: t for t in [*((w, i, i) for i, w in enumerate(words)), *pairs]}.values())
 
 
 def sections(text: str) -> Iterator[list[str]]:
@@ -172,20 +175,40 @@ def _repaired(m: re.Match) -> str:
         return m.group()
 
 
-def seed_votes(words: tuple[str, ...], seeds: Seeds) -> dict[int, list[int]]:
+def seed_votes(words: tuple[str, ...], seeds: Seeds) -> dict[int, set[int]]:
     """Subject -> places of its plain seeds."""
-    out: dict[int, list[int]] = {}
-    for term, first, last in terms_of(words):
-        for n, weight in seeds.of(term).items():
-            if weight == 2:
-                out.setdefault(n, []).extend(range(first, last + 1))
+    if (out := seeds.voted.get(words)) is None:
+        out = {}
+        for i, w in enumerate(words):
+            for term, places in ((w, (i,)), (f"{w} {words[i + 1]}" if i + 1 < len(words) else "", (i, i + 1))):
+                for n, weight in seeds.of(term).items():
+                    if weight == 2:
+                        out.setdefault(n, set()).update(places)
+        if len(seeds.voted) < 100_000:
+            seeds.voted[words] = out
     return out
 
 
-def counted_terms(text: str, rated: list[int], seeds: Seeds, into: dict[str, Counter]) -> int:
+def evidence(beside: set[int], context: dict[int, float]) -> tuple[tuple[int, float], ...]:
+    """Shares by subject that seeds in the same sentence and in the sentences around give."""
+    own = OWN if beside and context else 1.0 if beside else 0.0
+    return tuple((n, own * (n in beside) + (1 - own) * context.get(n, 0.0)) for n in sorted(beside | context.keys()))
+
+
+def counted_terms(text: str, rated: list[int], seeds: Seeds, into: dict[str, dict[int, float]]) -> int:
     """Adds for each term of a text one (-1), and its share of evidence for each subject beside the term itself, on average over the
     sentences with it; so a document counts once for a term, however long it is. BASE is the average of all sentences. Returns the sentences."""
     total, here = 0, {}
+
+    def seen(term: str, shares: tuple[tuple[int, float], ...]) -> None:
+        if (before := here.get(term)) is None:
+            here[term] = (1, shares)
+        elif shares:
+            both = dict(before[1])
+            for n, x in shares:
+                both[n] = both.get(n, 0.0) + x
+            here[term] = (before[0] + 1, tuple(both.items()))
+
     for own in sections(text):
         split = [words_of(x) for x in own]
         hits = [seed_votes(w, seeds) for w in split]
@@ -198,19 +221,21 @@ def counted_terms(text: str, rated: list[int], seeds: Seeds, into: dict[str, Cou
             context = {n: c / voiced for n, c in others.items() if c} if voiced else dict.fromkeys(rated, 1.0)
             if not context and not hit:
                 continue
-            for term, first, last in [*{t[0]: t for t in terms_of(words)}.values(), (BASE, -1, -1)]:
-                beside = {n for n, places in hit.items() if any(not first <= i <= last for i in places)}
-                own = OWN if beside and context else 1.0 if beside else 0.0
-                if not own and not context:
-                    continue
-                at = here.setdefault(term, Counter())
-                at[-1] += 1
-                for n in beside | context.keys():
-                    at[n] += own * (n in beside) + (1 - own) * context.get(n, 0.0)
-    for term, seen in here.items():
-        at = into.setdefault(term, Counter())
-        for n, c in seen.items():
-            at[n] += c / seen[-1]
+            usual, seeded = evidence(set(hit), context), set().union(*hit.values()) if hit else set()
+            for term, first, last in terms_of(words):
+                if first in seeded or last in seeded:
+                    shares = evidence({n for n, places in hit.items() if not places <= {first, last}}, context)
+                    if shares:
+                        seen(term, shares)
+                else:
+                    seen(term, usual)
+            seen(BASE, usual)
+    for term, (count, shares) in here.items():
+        if (at := into.get(term)) is None:
+            at = into[term] = {-1: 0.0}
+        at[-1] += 1.0
+        for n, x in shares:
+            at[n] = at.get(n, 0.0) + x / count
     return total
 
 
@@ -224,10 +249,10 @@ def _terms(subjects: list[tuple[str, str]]):
         for f in frames:
             for text, rated in zip(f["text"], f["rated"], strict=True):
                 total += counted_terms(text, [] if rated is None else list(rated), seeds, into)
-                if len(into) > 300_000:  # what was counted goes on; the sums are made behind
+                if len(into) > 200_000:  # what was counted goes on; the sums are made behind
                     yield rows()
                     into = {}
-        into[""] = Counter({-1: total})  # the sentences there are
+        into[""] = {-1: float(total)}  # the sentences there are
         yield rows()
 
     return run
